@@ -71,8 +71,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_runs(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that connect what is linked inside each run of equal ``bucket``: a forest, not all pairs."""
+def link_runs(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, k: int, sketch: np.ndarray | None = None, least: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that connect what is linked inside each run of equal ``bucket``: a forest, not all pairs.
+
+    With ``sketch`` a pair is linked only if its sketches say a Jaccard similarity of ``least`` or more.
+    """
     seg = segments(k)
     ring = np.array([[sum(seg[(s + j) % (k + 1)] for j in range(n + 1)) for n in range(k + 1)] for s in range(k + 1)], np.uint64)
     n = len(fp)
@@ -91,6 +94,9 @@ def link_runs(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, k: int) ->
             fits = np.bitwise_count(x & ring[start[i], chain]) <= (chain + 1) * k // (k + 1)
             i, x = i[fits], x[fits]
         j = i + step
+        if sketch is not None and len(i):
+            i = i[alike(sketch[i], sketch[j]) >= least]
+            j = i + step
         while len(i):
             a, b = label[i], label[j]
             apart = a != b
@@ -102,26 +108,29 @@ def link_runs(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, k: int) ->
     return moved, label[moved]
 
 
-def links(classes: DataFrame, tables: Written, k: int = K, bucket: int = BUCKET) -> DataFrame:
-    """Links ``a, b`` between the ``node``s of ``classes`` (``node, fp``; distinct ``fp``) that connect all
-    pairs within ``k`` bits. A bucket of over ``bucket`` rows is cut by the pigeonhole rule on the bits that
+def links(classes: DataFrame, tables: Written, k: int = K, bucket: int = BUCKET, least: float = 0, name: str = "") -> DataFrame:
+    """Links ``a, b`` between the ``node``s of ``classes`` (``node, fp``, and with ``least`` a ``sketch``) that connect all
+    pairs within ``k`` bits (and of that similarity). A bucket of over ``bucket`` rows is cut by the pigeonhole rule on the bits that
     its key leaves free, again and again; so no task holds a large bucket and no link is lost."""
     first = [_signed(m) for m in segments(k)]
+    more = ["sketch"] if least else []
+    extra = ", sketch binary" if least else ""
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, start, mask = (batch.column(c).to_numpy() for c in range(4))
+            mask = batch.column(3).to_numpy()
             for m in np.unique(mask):
-                rows = mask == m
-                for more in _split(int(m) & _ALL, k + 1):
-                    new = np.full(int(rows.sum()), _signed(int(m) & _ALL | more), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[rows], fp[rows], start[rows], new)], names=["node", "fp", "start", "mask"])
+                rows = batch.filter(pa.array(mask == m))
+                for part in _split(int(m) & _ALL, k + 1):
+                    new = pa.array(np.full(rows.num_rows, _signed(int(m) & _ALL | part), np.int64))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:3], new, *rows.columns[4:]], names=["node", "fp", "start", "mask", *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:
             node, fp, start, mask, key = (t.column(c).to_numpy() for c in ("node", "fp", "start", "mask", "key"))
             new = np.append(True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))
-            i, j = link_runs(np.cumsum(new), fp.view(np.uint64), start, k)
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(fp), BINS) if least else None
+            i, j = link_runs(np.cumsum(new), fp.view(np.uint64), start, k, sketch, least)
             return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -142,20 +151,20 @@ def links(classes: DataFrame, tables: Written, k: int = K, bucket: int = BUCKET)
         if size:
             yield done(pa.Table.from_batches(held))
 
-    todo = classes.select("node", "fp", F.posexplode(F.array(*[F.lit(m) for m in first])).alias("start", "mask"))
+    todo = classes.select("node", "fp", *more, F.posexplode(F.array(*[F.lit(m) for m in first])).alias("start", "mask"))
     found, level = None, 0
     while True:
         rows = todo.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        large = tables.cut(rows.groupBy("mask", "key").count().where(F.col("count") > bucket).drop("count"), f"large-{level}")
-        more = not large.isEmpty()
-        if more:
-            rows = tables.cut(rows, f"rows-{level}")
-        small = rows.join(large, ["mask", "key"], "left_anti") if more else rows
-        part = small.repartition("mask", "key").sortWithinPartitions("mask", "key").select("node", "fp", "start", "mask", "key").mapInArrow(run, "a long, b long")
+        large = tables.cut(rows.groupBy("mask", "key").count().where(F.col("count") > bucket).drop("count"), f"large{name}-{level}")
+        again = not large.isEmpty()
+        if again:
+            rows = tables.cut(rows, f"rows{name}-{level}")
+        small = rows.join(large, ["mask", "key"], "left_anti") if again else rows
+        part = small.repartition("mask", "key").sortWithinPartitions("mask", "key").select("node", "fp", "start", "mask", "key", *more).mapInArrow(run, "a long, b long")
         found = part if found is None else found.union(part)
-        if not more:
+        if not again:
             return found
-        todo = rows.join(large, ["mask", "key"], "left_semi").select("node", "fp", "start", "mask").mapInArrow(finer, "node long, fp long, start int, mask long").distinct()
+        todo = rows.join(large, ["mask", "key"], "left_semi").select("node", "fp", "start", "mask", *more).mapInArrow(finer, f"node long, fp long, start int, mask long{extra}")
         level += 1
 
 
@@ -185,3 +194,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
         "fp",
     )
+
+
+#: Bins of a similarity sketch, and the bits that may differ between copies in either of two views (distinct words, distinct word pairs).
+BINS, COPY_BITS = 128, 7
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity that sketches say: equal bins among those that either fills."""
+    filled = ((a | b) != 0).sum(1)
+    return ((a == b) & (a != 0)).sum(1) / np.maximum(filled, 1)
+
+
+def views(text: bytes, words: int, seed: int) -> tuple[int, int, int, bytes]:
+    """Of a text: hash of its words, SimHash of its distinct words, of its distinct word pairs, and the sketch of its
+    ``words``-word shingles (the least hash in each of ``BINS`` bins, one byte of it, 0 if there is none)."""
+    import xxhash
+
+    w = text.lower().split()
+    own = xxhash.xxh64_intdigest(b" ".join(w), seed)
+    if not w:
+        return own, 0, 0, bytes(BINS)
+    prints = []
+    for n in (1, 2, words):
+        m = len(w) - n + 1
+        parts = map(b" ".join, zip(*(islice(w, i, None) for i in range(n)), strict=False)) if n > 1 and m > 0 else w if m > 0 else [b" ".join(w)]
+        h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, max(m, 1)))
+        if n < words:
+            at = (h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel()
+            ones = np.einsum("kb,bj->kj", np.bincount(at, minlength=2048).reshape(8, 256), _BITS).ravel()
+            prints.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]))
+    place = (h >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    sketch = np.zeros(BINS, np.uint8)
+    sketch[place[first]] = (h[first] % np.uint64(255)).astype(np.uint8) + 1
+    return own, prints[0], prints[1], sketch.tobytes()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = COPY_BITS, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
+    """``doc_id, component_id`` of every row with an id: groups of texts whose ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more, smallest id first.
+
+    A 64-bit SimHash of long shingles scatters such copies over 4 to 14 bits; one of distinct words and one of distinct word pairs keep
+    nearly all within 7, and either makes a candidate by pigeonring. The similarity is judged on sketches of 128 bins, whose
+    error is 0.035 at 0.8, so pairs count from one error below. Texts without a word are one group. Repeated ids join what any of their rows reaches.
+    """
+    tables = Written(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, one, two, sketch = zip(*(views(t.as_py() or b"", words, seed) for t in batch.column(1)), strict=True)
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (own, one, two)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sketch, pa.binary())], names=["doc_id", "own", "one", "two", "sketch"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("doc_id is not null")
+    slim = tables.cut(slim.mapInArrow(run, "doc_id long, own long, one long, two long, sketch binary"), "views")
+    firsts = slim.groupBy("own").agg(F.min("doc_id").alias("node"))
+    classes = slim.join(firsts, "own").where(F.col("doc_id") == F.col("node")).dropDuplicates(["own"])
+    classes = tables.cut(classes.select("own", "node", "one", "two", "sketch"), "classes")
+    least = similarity - (similarity * (1 - similarity) / BINS) ** 0.5
+    found = links(classes.select("node", F.col("one").alias("fp"), "sketch"), tables, k, bucket, least, "-one")
+    found = found.union(links(classes.select("node", F.col("two").alias("fp"), "sketch"), tables, k, bucket, least, "-two"))
+    several = slim.groupBy("doc_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("doc_id")
+    also = slim.join(several, "doc_id", "left_semi").join(classes.select("own", "node"), "own").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    roots = components(found.union(also), tables)
+    named = classes.join(roots, "node", "left").select("own", F.coalesce("root", "node").alias("component_id"))
+    return slim.select("doc_id", "own").join(named, "own").select("doc_id", "component_id")
