@@ -23,7 +23,7 @@ WINDOW, GRAM = 200, 50
 #: Members of an anchor's group that one task sorts; windows of larger groups are counted one by one instead.
 GROUP = 1 << 15
 #: Bytes of surroundings that are sorted together.
-ROOM = 1 << 24
+ROOM = 1 << 22
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -34,7 +34,7 @@ def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     if len(_powers[0]) < n:
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            _powers[k] = np.multiply.accumulate(np.append(np.uint64(1), np.full(1 << int(n).bit_length(), b, np.uint64)))
+            _powers[k] = np.multiply.accumulate(np.append(np.uint64(1), np.full(max(1 << 18, n + n // 4), b, np.uint64)))
     return _powers[0], _powers[1]
 
 
