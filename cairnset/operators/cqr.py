@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 def build(full_cells: DataFrame, partial: DataFrame) -> DataFrame:
     """Full cells win over partial ones."""
-    full = full_cells.select("cell_id").distinct()
+    full = all_to_full(full_cells)
     rest = partial.select("cell_id", "item_id").distinct().join(full, "cell_id", "left_anti")
-    return full.select("cell_id", F.lit(True).alias("full_match"), F.lit(None).cast("long").alias("item_id")).union(rest.select("cell_id", F.lit(False), "item_id"))
+    return full.union(rest.select("cell_id", F.lit(False), "item_id"))
 
 
 def _full(r: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def symmetric_difference(a: DataFrame, b: DataFrame, universe: DataFrame) -> Dat
 
 
 def all_to_full(a: DataFrame) -> DataFrame:
-    return build(a, a.where("false"))
+    return a.select("cell_id").distinct().select("cell_id", F.lit(True).alias("full_match"), F.lit(None).cast("long").alias("item_id"))
 
 
 def flatten(a: DataFrame, universe: DataFrame) -> DataFrame:

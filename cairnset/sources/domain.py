@@ -35,7 +35,10 @@ def lon(key: Column) -> Column:
 
 
 class Domain:
-    """Customers are items, nations are cells, regions and market segments are regions of a DAG whose root is ``world``."""
+    """Customers are placed items of one cell, parts text items of many; nations are cells, and the leaves of a region DAG.
+
+    Above a nation stand its region and the half of the world by the parity of its key; above both the root, 99.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -43,32 +46,57 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.folder, name)
 
+    def values(self, schema: str, *rows: tuple) -> DataFrame:
+        """A small literal table; it stays in the plan, as a local relation."""
+        names = [c.split()[0] for c in schema.split(",")]
+        kinds = [c.split()[1] for c in schema.split(",")]
+        lit = lambda v, kind: F.lit(v).cast(kind)
+        structs = [F.struct(*[lit(v, k).alias(n) for v, k, n in zip(r, kinds, names, strict=True)]) for r in rows]
+        return self.spark.range(1).select(F.inline(F.array(*structs)))
+
     def items(self) -> DataFrame:
-        c = self.table("customer")
-        return c.select(F.col("c_custkey").alias("item_id"), F.col("c_nationkey").cast("long").alias("cell_id"), F.array("c_name", "c_mktsegment").alias("strs"), lat(F.col("c_custkey")).alias("lat"), lon(F.col("c_custkey")).alias("lon"))
+        key = F.col("c_custkey")
+        return self.table("customer").select(key.alias("item_id"), F.col("c_nationkey").cast("long").alias("cell_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("bal"), lat(key).alias("lat"), lon(key).alias("lon"))
+
+    def set_a(self) -> DataFrame:
+        return self.items().where("segment = 'BUILDING'").select("item_id")
+
+    def set_b(self) -> DataFrame:
+        return self.items().where("bal >= 5000").select("item_id")
+
+    def set_c(self) -> DataFrame:
+        return self.items().where("cell_id < 10").select("item_id")
 
-    def item_cells(self) -> DataFrame:
-        return self.items().select("item_id", "cell_id")
+    def parts(self) -> DataFrame:
+        return self.table("part").select(F.col("p_partkey").alias("item_id"), F.array("p_name", "p_brand", "p_type").alias("strs"))
 
-    def parts_in_cells(self) -> DataFrame:
-        """Parts in the nations of their suppliers: an item in many cells."""
+    def part_strs(self) -> DataFrame:
+        """``item_id, s``: a row for each string of an item."""
+        return self.parts().select("item_id", F.explode("strs").alias("s"))
+
+    def universe(self) -> DataFrame:
+        """``item_id, cell_id``: parts in the nations of their suppliers, an item in many cells."""
         s = self.table("supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("cell_id"))
         pairs = self.table("lineitem").select("l_partkey", "l_suppkey").distinct()
         return pairs.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("item_id"), "cell_id").distinct()
 
+    def arrays(self) -> DataFrame:
+        """``row_id, x, y``: two sorted arrays of parts for each order, which has a few lines."""
+        of = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("l_partkey"))))
+        return self.table("lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(of(F.col("l_quantity") >= 25).alias("x"), of(F.col("l_discount") >= 0.05).alias("y"))
+
     def cells(self) -> DataFrame:
-        n = self.table("nation")
         key = F.col("n_nationkey")
-        return n.select(key.cast("long").alias("cell_id"), lat(key).alias("lat"), lon(key).alias("lon"))
+        return self.table("nation").select(key.cast("long").alias("cell_id"), lat(key).alias("lat"), lon(key).alias("lon"))
 
     def regions(self) -> DataFrame:
-        """``region_id, name``: children have smaller ids than parents; 99 is the root."""
+        """``region_id, name``: children have smaller ids than parents."""
         r = self.table("region").select((F.col("r_regionkey") + 30).cast("long").alias("region_id"), F.col("r_name").alias("name"))
         n = self.table("nation").select(F.col("n_nationkey").cast("long").alias("region_id"), F.col("n_name").alias("name"))
-        return n.union(r).union(self.spark.createDataFrame([(99, "WORLD")], r.schema))
+        return n.union(r).union(self.values("region_id long, name string", (40, "EVEN"), (41, "ODD"), (99, "WORLD")))
 
     def region_parents(self) -> DataFrame:
-        """``child, parent``: nation to region, and to the half of the world by the parity of its key; both to the root."""
+        """``child, parent``, the root's children included."""
         n = self.table("nation")
         up = n.select(F.col("n_nationkey").cast("long").alias("child"), (F.col("n_regionkey") + 30).cast("long").alias("parent"))
         half = n.select(F.col("n_nationkey").cast("long").alias("child"), (F.col("n_nationkey") % 2 + 40).cast("long").alias("parent"))
@@ -77,10 +105,16 @@ class Domain:
 
     def cell_parents(self) -> DataFrame:
         """``cell_id, region_id``: every region that holds the cell, ancestors included."""
-        direct = self.cells().select("cell_id", F.col("cell_id").alias("region_id"))
-        return direct.join(self.region_parents(), F.col("region_id") == F.col("child")).select("cell_id", F.col("parent").alias("region_id")).union(direct).union(self.cells().select("cell_id", F.lit(99).cast("long"))).distinct()
+        own = self.cells().select("cell_id", F.col("cell_id").alias("region_id"))
+        above = self.region_parents().where("child < 30").select(F.col("child").alias("cell_id"), F.col("parent").alias("region_id"))
+        return own.union(above).union(self.cells().select("cell_id", F.lit(99).cast("long"))).distinct()
 
     def cell_edges(self) -> DataFrame:
         """Nation i borders (i + 1) % 25 and (i + 5) % 25, both ways."""
         one = self.cells().select(F.col("cell_id").alias("src"), F.explode(F.array((F.col("cell_id") + 1) % 25, (F.col("cell_id") + 5) % 25)).alias("dst"))
         return one.union(one.select("dst", "src")).distinct()
+
+    def diamonds(self) -> DataFrame:
+        """``poly_id, ring``: a closed diamond around each nation's centre, 20 degrees from it to each corner."""
+        at = lambda dy, dx: F.struct((F.col("lat") + F.lit(float(dy))).alias("lat"), (F.col("lon") + F.lit(float(dx))).alias("lon"))
+        return self.cells().select(F.col("cell_id").alias("poly_id"), "lat", "lon", F.array(at(-20, 0), at(0, 20), at(20, 0), at(0, -20), at(-20, 0)).alias("ring"))
