@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def build(full_cells: DataFrame, partial: DataFrame) -> DataFrame:
@@ -78,21 +79,38 @@ def sizes(a: DataFrame, universe: DataFrame) -> DataFrame:
     return expand(a, universe).groupBy("cell_id").agg(F.count("item_id").alias("n")).join(a.select("cell_id", "full_match").distinct(), "cell_id")
 
 
+def ranks(universe: DataFrame) -> DataFrame:
+    """``cell_id, item_id, local_id``: ranks within the cell. Ranges of ids are ranked apart and offset by the ranges before, so that no window holds a large cell."""
+    rows = universe.select("cell_id", "item_id").distinct().withColumn("_b", F.floor(F.col("item_id") / (1 << 16)))
+    before = Window.partitionBy("cell_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("cell_id", "_b").count().select("cell_id", "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("cell_id", "_b").orderBy("item_id")) - 1
+    return rows.withColumn("_p", place).join(offsets, ["cell_id", "_b"]).select("cell_id", "item_id", (F.col("_p") + F.col("_o")).alias("local_id"))
+
+
 def to_local(a: DataFrame, universe: DataFrame) -> DataFrame:
     """Item ids as ranks within their cell."""
-    from pyspark.sql.window import Window
+    return _part(a).join(ranks(universe), ["cell_id", "item_id"]).select("cell_id", "local_id")
+
+
+def to_global(local: DataFrame, universe: DataFrame) -> DataFrame:
+    """``cell_id, local_id, item_id``."""
+    return local.join(ranks(universe), ["cell_id", "local_id"]).select("cell_id", "local_id", "item_id")
+
 
-    rank = F.row_number().over(Window.partitionBy("cell_id").orderBy("item_id")) - 1
-    local = universe.select("cell_id", "item_id").distinct().withColumn("local_id", rank)
-    return _part(a).join(local, ["cell_id", "item_id"]).select("cell_id", "local_id")
+def remove_empty(a: DataFrame) -> DataFrame:
+    return a.where("full_match or item_id is not null")
 
 
-def equal(a: DataFrame, b: DataFrame) -> bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def mismatches(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of two results has: none if they are equal."""
+    cols = a.columns
+    tagged = a.withColumn("_s", F.lit(1)).union(b.select(*cols).withColumn("_s", F.lit(-1)))
+    return tagged.groupBy(*cols).agg(F.sum("_s").alias("_s")).where("_s <> 0").select(*cols)
 
 
 def self_check(a: DataFrame, universe: DataFrame) -> DataFrame:
     """Rows that break an invariant: full with an item, partial without, both in a cell, or an item that isn't in the cell."""
-    shape = a.where("full_match = item_id is not null")
+    shape = a.where("full_match = (item_id is not null)")
     mixed = a.groupBy("cell_id").agg(F.countDistinct("full_match").alias("n")).where("n > 1").select("cell_id", F.lit(None).cast("boolean"), F.lit(None).cast("long"))
     return shape.union(mixed).union(_part(a).join(universe, ["cell_id", "item_id"], "left_anti").select("cell_id", F.lit(False), "item_id"))

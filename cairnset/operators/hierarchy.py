@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import cqr
+from ..sources.storage import cut
+from . import cqr, graph
 
 
 def ancestors(parents: DataFrame, levels: int = 64) -> DataFrame:
-    """``node, ancestor, depth`` (longest path), by joins until nothing is new; every round cuts the plan through a checkpoint."""
-    spark = parents.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    step = parents.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)).checkpoint()
-    edges, found, level = parents.select("child", "parent").distinct(), step, 1
-    while level < levels:
-        level += 1
-        step = step.join(edges, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(level)).checkpoint()
+    """``node, ancestor, depth`` (longest path), a join a level until nothing is new; every level is written to the shared folder."""
+    edges = cut(parents.select("child", "parent").distinct())
+    step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    found = step
+    for level in range(2, levels + 1):
+        step = cut(step.join(edges, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(level)))
         if step.isEmpty():
-            break
+            return found.groupBy("node", "ancestor").agg(F.max("depth").alias("depth"))
         found = found.union(step)
-    else:
-        raise ValueError("the hierarchy is deeper than allowed, or has a cycle")
-    return found.groupBy("node", "ancestor").agg(F.max("depth").alias("depth"))
+    raise ValueError("the hierarchy is deeper than allowed, or has a cycle")
+
+
+def paths(parents: DataFrame, root: int, levels: int = 64) -> DataFrame:
+    """``region_id, times``: how often a walk from the root, once a path, comes by."""
+    edges = cut(parents.select("child", "parent").distinct())
+    step = edges.where(F.col("parent") == root).select(F.col("child").alias("region_id"), F.lit(1).cast("long").alias("times"))
+    found = edges.sparkSession.range(1).select(F.lit(root).cast("long").alias("region_id"), F.lit(1).cast("long").alias("times")).union(step)
+    for _ in range(levels):
+        step = cut(step.join(edges, F.col("region_id") == F.col("parent")).groupBy(F.col("child").alias("region_id")).agg(F.sum("times").alias("times")))
+        if step.isEmpty():
+            return found.groupBy("region_id").agg(F.sum("times").alias("times"))
+        found = found.union(step)
+    raise ValueError("the hierarchy is deeper than allowed, or has a cycle")
 
 
 def without_parent(regions: DataFrame, parents: DataFrame) -> DataFrame:
@@ -66,10 +73,9 @@ def neighbours(cell_parents: DataFrame, edges: DataFrame) -> DataFrame:
 def path_to_branch(counts: DataFrame, parents: DataFrame, root: int, fraction: float = 0.95) -> list[int]:
     """From the root to the child with the most items while its share reaches ``fraction``; one small query a level."""
     path, node = [root], root
-    own = {r.region_id: r.max_items for r in counts.where(F.col("region_id") == root).collect()}
-    have = own.get(root, 0)
+    have = sum(r.max_items for r in counts.where(F.col("region_id") == root).take(1))
     while have:
-        best = parents.where(F.col("parent") == node).join(counts, F.col("child") == F.col("region_id")).orderBy(F.desc("max_items"), "child").limit(1).collect()
+        best = parents.where(F.col("parent") == node).join(counts, F.col("child") == F.col("region_id")).orderBy(F.desc("max_items"), "child").take(1)
         if not best or best[0].max_items < fraction * have:
             break
         node, have = best[0].child, best[0].max_items
@@ -77,21 +83,41 @@ def path_to_branch(counts: DataFrame, parents: DataFrame, root: int, fraction: f
     return path
 
 
-def dilate(base: DataFrame, edges: DataFrame, distances: DataFrame, metres: float, rounds: int = 64) -> DataFrame:
+def cover(cell_parents: DataFrame, parents: DataFrame, root: int, levels: int = 64) -> DataFrame:
+    """``node, is_cell, parent, depth``: the DAG as a tree. Of a region's children those are taken, smallest first and then by id, that overlap none
+    taken before; cells of the region in none of them hang directly below it.
+
+    A level at a time: within a region, a child is taken in round k if it is the first of the children left that overlap no taken one. Rounds
+    run for all regions of a level at once; children of one region are compared by their cells.
+    """
+    closure = cut(cell_parents.distinct())
+    sizes = cut(closure.groupBy("region_id").agg(F.count("cell_id").alias("n")))
+    edges = cut(parents.distinct())
+    level = closure.sparkSession.range(1).select(F.lit(root).cast("long").alias("region_id"))
+    out = level.select(F.col("region_id").alias("node"), F.lit(False).alias("is_cell"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"))
+    for depth in range(1, levels + 1):
+        left = cut(level.join(edges, F.col("region_id") == F.col("parent")).select("parent", "child").join(sizes, F.col("child") == F.col("region_id")).select("parent", "child", "n"))
+        taken = left.where("false")
+        while not left.isEmpty():
+            best = cut(left.groupBy("parent").agg(F.min(F.struct("n", "child")).alias("b")).select("parent", F.col("b.child").alias("child"), F.col("b.n").alias("n")))
+            taken = cut(taken.union(best))
+            held = best.join(closure, F.col("child") == F.col("region_id")).select("parent", "cell_id")
+            clash = left.join(closure, F.col("child") == F.col("region_id")).join(held, ["parent", "cell_id"], "left_semi").select("parent", "child").distinct()
+            left = cut(left.join(clash, ["parent", "child"], "left_anti"))
+        mine = level.join(closure, "region_id").select(F.col("region_id").alias("parent"), "cell_id")
+        held = taken.join(closure, F.col("child") == F.col("region_id")).select("parent", "cell_id")
+        cells = mine.join(held, ["parent", "cell_id"], "left_anti")
+        out = out.union(taken.select("child", F.lit(False), "parent", F.lit(depth))).union(cells.select("cell_id", F.lit(True), "parent", F.lit(depth)))
+        level = cut(taken.select(F.col("child").alias("region_id")))
+        if level.isEmpty():
+            return out
+    raise ValueError("the hierarchy is deeper than allowed, or has a cycle")
+
+
+def dilate(base: DataFrame, edges: DataFrame, distances: DataFrame, metres: float) -> DataFrame:
     """Cells reached from a base cell over cells that aren't base and whose centre is within ``metres`` of that base cell."""
-    spark = base.sparkSession
     base = base.select("cell_id").distinct()
     near = distances.where(F.col("distance") < metres).select(F.col("src").alias("origin"), F.col("dst").alias("cell_id"))
     allowed = near.join(base, "cell_id", "left_anti").join(base.select(F.col("cell_id").alias("origin")), "origin", "left_semi")
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    seen = step = base.select(F.col("cell_id").alias("origin"), "cell_id").checkpoint()
-    for _ in range(rounds):
-        step = step.join(edges, F.col("cell_id") == F.col("src")).select("origin", F.col("dst").alias("cell_id")).distinct()
-        step = step.join(allowed, ["origin", "cell_id"], "left_semi").join(seen, ["origin", "cell_id"], "left_anti").checkpoint()
-        if step.isEmpty():
-            break
-        seen = seen.union(step).checkpoint()
+    seen = graph.spread(base.select(F.col("cell_id").alias("origin"), "cell_id"), edges, allowed)
     return seen.join(base, "cell_id", "left_anti").select("cell_id").distinct()

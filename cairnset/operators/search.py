@@ -265,11 +265,10 @@ def _predicate_but(tree: Tree, place: int, given: Column, strs: Column, function
 
 
 class ItemSet:
-    """A query over items (``item_id, strs``, more columns): ids or rows in ascending order; updating it reuses what the new query leaves alone."""
+    """A query over items (``item_id, strs``, more columns): ids or rows in ascending order. Updating it parses anew; nothing runs before rows are asked for."""
 
     def __init__(self, items: DataFrame, q: str, language: str = "infix", functions: dict[str, Function] | None = None, hinter: Hinter = lambda s: False, most: int | None = None, keep: Column | None = None):
         self.items, self.language, self.functions, self.hinter, self.most, self.keep = items, language, functions or {}, hinter, most, keep
-        self.leaf_cache: dict[Leaf | Call, Column] = {}
         self.update(q)
 
     def parse(self, q: str) -> Tree | Terms:
