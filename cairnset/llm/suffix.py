@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, tables: Written, text_col: str = "text", win
     wide = "gram long, doc long, bytes long, at long, x0 long, x1 long, around binary"
     met = texts.mapInArrow(alone, "doc long, bytes long, t binary").join(wanted, ["doc", "bytes"]).select("doc", "bytes", "marks", "t").mapInArrow(surround, wide)
     if some_hot:
-        met = tables.cut(met.dropDuplicates(["gram", "doc", "bytes", "at"]), "met")
+        met = tables.cut(met, "met")  # rows that repeat go where they are sorted or counted
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:
