@@ -152,7 +152,8 @@ def flagship(d: Domain) -> DataFrame:
     by_item = cqr.build(u.where("false"), u.join(textindex.complete(strs, wanted.left.text, wanted.left.kind), "item_id", "left_semi"))
     by_region = textindex.region_cells(d.regions(), d.cell_parents(), wanted.right.text, wanted.right.kind)
     gone = cqr.build(u.where("false"), u.join(textindex.complete(strs, unwanted.text, unwanted.kind), "item_id", "left_semi"))
-    found = cqr.difference(cqr.union(by_item, by_region, u), gone, u)
+    found = storage.cut(cqr.union(storage.cut(by_item), storage.cut(by_region), u))
+    found = storage.cut(cqr.difference(found, storage.cut(gone), u))  # each result is read several times
     return hierarchy.sub_set(found, u, d.cell_parents()).join(d.regions(), "region_id").select("region_id", "name", "n_cells", "max_items")
 
 

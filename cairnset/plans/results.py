@@ -146,7 +146,7 @@ def cq13_equality(d: Domain) -> DataFrame:
 @query("SELECT CAST(0 AS BIGINT) AS broken")
 def cq14_self_check(d: Domain) -> DataFrame:
     a, b, u = sides(d)
-    return cqr.self_check(cqr.union(a, b, u), u).agg(F.count(F.lit(1)).alias("broken"))
+    return cqr.self_check(cut(cqr.union(a, b, u)), u).agg(F.count(F.lit(1)).alias("broken"))
 
 
 @query(_SIDES + _A + " SELECT cell_id, CASE WHEN full_match THEN cell_id || ':f' ELSE cell_id || ':' || n END AS line FROM (SELECT cell_id, true AS full_match, 0 AS n FROM rf UNION ALL SELECT cell_id, false, count(*) FROM rp GROUP BY 1)")
@@ -158,9 +158,9 @@ def cq15_dump(d: Domain) -> DataFrame:
 
 @query(_SIDES + _OPS["^"] + ", z AS (SELECT cell_id, item_id FROM u WHERE cell_id IN (SELECT cell_id FROM rf) UNION SELECT cell_id, item_id FROM rp) SELECT cell_id, count(*) AS n FROM z WHERE cell_id IN (SELECT cell_id FROM bf UNION SELECT cell_id FROM bp) GROUP BY 1")
 def cq16_delayed(d: Domain) -> DataFrame:
-    """Several operations as one plan: (a ^ b) / allToFull(b), nothing evaluated before the end."""
+    """Several operations in a row: (a ^ b) / allToFull(b)."""
     a, b, u = sides(d)
-    return cqr.sizes(cqr.intersect(cqr.symmetric_difference(a, b, u), cqr.all_to_full(b)), u).select("cell_id", "n")
+    return cqr.sizes(cqr.intersect(cut(cqr.symmetric_difference(a, b, u)), cqr.all_to_full(b)), u).select("cell_id", "n")
 
 
 @query(_SIDES + _OPS["/"] + " SELECT (SELECT count(*) FROM rf) + (SELECT count(*) FROM rp) > 0 AS has_hits")

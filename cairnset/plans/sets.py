@@ -263,7 +263,7 @@ def io11_inspect(d: Domain) -> DataFrame:
     return stored.groupBy("idx_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_sets"), F.sum("n").alias("n_items"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-@query("SELECT cell_id, CAST(5 AS BIGINT) AS n_points, round(lat - 20, 6) AS first_lat, round(lon - 20, 6) AS left_lon FROM cells")
+@query("SELECT cell_id, CAST(5 AS BIGINT) AS n_points, round(lat - 20.0005, 6) AS first_lat, round(lon - 20.0005, 6) AS left_lon FROM cells")
 def io12_point_chains(d: Domain) -> DataFrame:
     chains = storage.cut(d.diamonds().select("poly_id", "ring"))
     return chains.select(F.col("poly_id").alias("cell_id"), F.size("ring").cast("long").alias("n_points"), F.round(F.col("ring")[0]["lat"], 6).alias("first_lat"), F.round(F.col("ring")[3]["lon"], 6).alias("left_lon"))

@@ -40,6 +40,9 @@ class Domain:
     Above a nation stand its region and the half of the world by the parity of its key; above both the root, 99.
     """
 
+    #: Half a diamond's width: no point of the domain is on its edge.
+    SPAN = 20.0005
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
@@ -115,6 +118,7 @@ class Domain:
         return one.union(one.select("dst", "src")).distinct()
 
     def diamonds(self) -> DataFrame:
-        """``poly_id, ring``: a closed diamond around each nation's centre, 20 degrees from it to each corner."""
+        """``poly_id, ring``: a closed diamond around each nation's centre, ``SPAN`` degrees from it to each corner."""
+        r = self.SPAN
         at = lambda dy, dx: F.struct((F.col("lat") + F.lit(float(dy))).alias("lat"), (F.col("lon") + F.lit(float(dx))).alias("lon"))
-        return self.cells().select(F.col("cell_id").alias("poly_id"), "lat", "lon", F.array(at(-20, 0), at(0, 20), at(20, 0), at(0, -20), at(-20, 0)).alias("ring"))
+        return self.cells().select(F.col("cell_id").alias("poly_id"), "lat", "lon", F.array(at(-r, 0), at(0, r), at(r, 0), at(0, -r), at(-r, 0)).alias("ring"))
