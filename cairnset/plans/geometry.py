@@ -393,7 +393,7 @@ def sp12_geo_rows(d: Domain) -> DataFrame:
 
 @query(f"SELECT i.item_id, c.cell_id AS poly_id FROM items i JOIN cells c ON {_IN}")
 def sp13_points_in_regions(d: Domain) -> DataFrame:
-    return spatial.points_in_rings(d.items().select("item_id", "lat", "lon"), d.diamonds().select("poly_id", "ring"))
+    return spatial.points_in_rings(d.items().select("item_id", "lat", "lon"), d.diamonds().select("poly_id", "ring")).select("item_id", "poly_id")
 
 
 @query(f"SELECT DISTINCT c.cell_id AS poly_id FROM items i JOIN cells c ON {_IN} WHERE segment = 'BUILDING'")
