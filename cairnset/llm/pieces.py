@@ -27,8 +27,8 @@ UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 #: Characters of a word up to which words advance together; longer ones are merged with a heap.
 LONG = 64
-#: Characters of text that are encoded together.
-ROOM = 1 << 22
+#: Characters of text that are encoded together, and of words that are merged in step.
+ROOM, CELLS = 1 << 21, 1 << 19
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -272,8 +272,9 @@ class Model:
         bounds = np.flatnonzero(np.diff(np.append(-1, size[order])))
         for lo, hi in zip(bounds, np.append(bounds[1:], n), strict=True):
             length = int(size[order[lo]])
-            for at in range(lo, hi, 1 << 16):
-                own = order[at : min(hi, at + (1 << 16))]
+            step = max(1, CELLS // length)
+            for at in range(lo, hi, step):
+                own = order[at : min(hi, at + step)]
                 points = np.frombuffer("".join([words[i] for i in own]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), length).astype(np.int64)
                 if self.kind == UNIGRAM:
                     s = self.viterbi(points)
