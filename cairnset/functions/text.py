@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EXACT, PREFIX, SUFFIX, SUBSTRING, NO_CASE, CASE = 1, 2, 4, 8, 16, 32
 KINDS = {"exact": EXACT, "prefix": PREFIX, "suffix": SUFFIX, "substring": SUBSTRING}
@@ -96,7 +97,7 @@ def has_upper(s: Column) -> Column:
     return F.exists(F.split(s, ""), lambda c: (c != "") & (F.upper(c) == c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_marks(s: pd.Series) -> pd.Series:
     """Letters without their nonspacing marks: no built-in function decomposes."""
     clean = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
