@@ -74,10 +74,9 @@ def index_store(sets: DataFrame, key: str, item: str) -> tuple[DataFrame, DataFr
     return stored, of.select(F.col("_k").alias(key), "idx_id")
 
 
-def positions(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+def positions(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with their 0-based place in the order of ``key`` (unique): ranks within range partitions plus the rows before."""
-    dealt = rows.repartitionByRange(buckets, key).withColumn("_p", F.spark_partition_id())
-    dealt = cut(dealt)
+    dealt = cut(rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
     offsets = dealt.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
     place = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
