@@ -92,7 +92,7 @@ def tree(a: DataFrame, deepest: int) -> DataFrame:
 def combine(operation: Callable[..., DataFrame], a: DataFrame, b: DataFrame, item_pixels: DataFrame, level: int) -> DataFrame:
     """A set operation of ``cqr`` on both sides at ``level``, compacted."""
     universe = item_pixels.select("item_id", ancestor(F.col("cell_id"), level).alias("cell_id"))
-    x, y = expanded(a, item_pixels, level), expanded(b, item_pixels, level)
+    x, y = cut(expanded(a, item_pixels, level)), cut(expanded(b, item_pixels, level))  # each is read several times
     done = operation(x, y) if operation is cqr.intersect else operation(x, y, universe)
     return compactified(cut(done), level)
 

@@ -193,7 +193,7 @@ def _grid_sides(d: Domain) -> tuple[DataFrame, DataFrame, DataFrame]:
     x, y = hcqr.place(F.col("cell_id"))
     a = cqr.build(root.where(x >= 8), items.where("segment = 'BUILDING'"))
     b = cqr.build(root.where(y >= 8), items.where("bal >= 5000"))
-    return a, b, items.select("item_id", "cell_id")
+    return cut(a), cut(b), cut(items.select("item_id", "cell_id"))
 
 
 @query(
@@ -202,8 +202,8 @@ def _grid_sides(d: Domain) -> tuple[DataFrame, DataFrame, DataFrame]:
     + _COMPACT
     + _LEAVES
     + """, lv AS (SELECT cell_id, 'full' AS kind FROM lf UNION SELECT cell_id, 'partial' FROM rp),
-up AS (SELECT DISTINCT (((cell_id >> 8) // (1 << CAST(cell_id & 255 AS INT))) // (1 << CAST((cell_id & 255) - k AS INT)) * (1 << CAST(k AS INT)) + ((cell_id >> 8) % (1 << CAST(cell_id & 255 AS INT))) // (1 << CAST((cell_id & 255) - k AS INT))) * 256 + k AS cell_id FROM lv, range(4) r(k) WHERE k < (cell_id & 255))
-SELECT cell_id, CAST(cell_id & 255 AS INT) AS level, kind FROM (SELECT * FROM lv UNION ALL SELECT cell_id, 'inner' FROM up)"""
+above AS (SELECT DISTINCT (((cell_id >> 8) // (1 << CAST(cell_id & 255 AS INT))) // (1 << CAST((cell_id & 255) - k AS INT)) * (1 << CAST(k AS INT)) + ((cell_id >> 8) % (1 << CAST(cell_id & 255 AS INT))) // (1 << CAST((cell_id & 255) - k AS INT))) * 256 + k AS cell_id FROM lv, range(4) r(k) WHERE k < (cell_id & 255))
+SELECT cell_id, CAST(cell_id & 255 AS INT) AS level, kind FROM (SELECT * FROM lv UNION ALL SELECT cell_id, 'inner' FROM above)"""
 )
 def hc1_tree(d: Domain) -> DataFrame:
     a, _, _ = _grid_sides(d)
