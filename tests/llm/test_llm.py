@@ -496,6 +496,23 @@ def test_line_prints(spark):
             assert [v & (1 << 64) - 1 for (_, k), v in got.items() if k == p] == [want]
 
 
+def test_lines_recall(spark):
+    """Lines with a changed word or two against brute force by edit similarity alone, at 0.8."""
+    rnd = random.Random(21)
+    fresh = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(n))
+    rows = []
+    for i in range(240):
+        w = fresh(rnd.choice([6, 8, 12, 20, 30])).split()
+        k = list(w)
+        for _ in range(1 if len(w) < 20 else 3):
+            k[rnd.randrange(len(k))] = fresh(1)
+        rows += [(2 * i, " ".join(w), len(w)), (2 * i + 1, " ".join(k), len(w))]
+    near = {b[0] for a, b in zip(rows[::2], rows[1::2], strict=True) if slow_distance(a[1], b[1]) <= 0.2 * max(len(a[1]), len(b[1]))}
+    kept = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n int").select("doc_id", "text")).collect()}
+    assert len(near) > 150 and len(near & kept) <= 0.06 * len(near)
+    assert {i for i, *_ in rows[::2]} <= kept
+
+
 def test_lines_empty(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
