@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from .common import WORD, Written
 
-#: Words of a block, and about how many a shard of all sources holds.
+#: Words of a block, and about how many a shard of a source holds.
 BLOCK, SHARD = 64, 1 << 22
 
 
@@ -95,7 +95,16 @@ def _over_shards(frame: pd.DataFrame) -> pd.DataFrame:
     length = [max(1, -(-x // k)) for x, k in zip(t, n, strict=True)]
     n = [max(1, -(-x // k)) for x, k in zip(t, length, strict=True)]
     got = sainte_lague([float(x) for x in t], int(frame["quota"].iloc[0]), [2 * k for k in n])
-    got = [min(2 * k, round(g * block / z)) if x else 0 for k, g, z, x in zip(n, got, length, t, strict=True)]
+    # a shard's blocks aren't of ``block`` words: what rounding to them leaves goes on to the next shard, and at the end round again
+    due, took = 0.0, [0] * len(t)
+    for more in (got, [0] * len(t)):
+        for i, (k, g, x) in enumerate(zip(n, more, t, strict=True)):
+            due += g * block
+            if x:
+                add = min(2 * k - took[i], max(-took[i], round(due * k / x)))
+                took[i] += add
+                due -= add * x / k
+    got = took
     return frame.assign(length=length, blocks=n, passes=[g // k for g, k in zip(got, n, strict=True)], rest=[g % k for g, k in zip(got, n, strict=True)])
 
 
@@ -108,9 +117,10 @@ def positions(docs: DataFrame, tables: Written, share: float, weights: tuple[int
         F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)).alias("order"),
     )
     slim = tables.cut(slim, "rows")
-    total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    shards = max(1, -(-int(total) // shard_words))
-    slim = slim.withColumn("shard", F.pmod(F.xxhash64("order", "size"), F.lit(shards)).cast("int"))
+    shards = slim.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / F.lit(shard_words))).alias("shards"))
+    shards = tables.cut(shards.withColumnRenamed("source", "_source"), "shards")
+    slim = slim.join(shards, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    slim = slim.withColumn("shard", F.pmod(F.xxhash64("order", "size"), F.col("shards")).cast("int")).drop("shards")
     cells = slim.groupBy("source", "shard").agg(F.sum("size").alias("t"))
     sizes = cells.groupBy("source").agg(F.sum("t").alias("source_size"))
     targets = source_targets(sizes, share, weights, most).withColumn("block", F.lit(block))
@@ -133,7 +143,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2
 
     Sources in code point order, a null source last and one of its own; they weigh ``weights``, repeating. A null or empty text
     has size 0 and takes 0; so has the mix of an empty table. Null and repeated ids are rows like any other;
-    rows alike in id, source and size are interchangeable. A hot source is dealt over shards of about ``shard_words`` words by
+    rows alike in id, source and size are interchangeable. A source is dealt over its own shards of about ``shard_words`` words by
     a hash of the row's id and size; only ids and sizes are shuffled.
     """
     rows = positions(docs, Written(docs.sparkSession), share, weights, most, block, shard_words, seed, id_col, text_col, source_col)
