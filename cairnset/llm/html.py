@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Characters in a window at which text begins on a page that doesn't mark its article.
 SURGE = 86
-_RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|select|title|canvas|audio|video"
+_RAW = "script|style|textarea|title"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<[/!?a-zA-Z][^>]*>",
@@ -29,6 +29,23 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _BOILER = frozenset("nav footer aside form menu dialog button fieldset head".split())
 _ZONE = frozenset(("article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is not text of the page; without an end tag they are nothing.
+_MUTE = frozenset("noscript template svg math iframe object select canvas audio video".split())
+_P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section summary table ul li dd dt".split())
+#: What a start tag ends, if it is open, and within what: HTML's optional end tags.
+_ENDS = {
+    **{t: (frozenset(("p",)), frozenset(("button",))) for t in _P_ENDS},
+    "li": (frozenset(("li",)), frozenset("ul ol menu".split())),
+    **dict.fromkeys(("dd", "dt"), (frozenset(("dd", "dt")), frozenset(("dl",)))),
+    **dict.fromkeys(("option", "optgroup"), (frozenset(("option",)), frozenset(("select",)))),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th")), frozenset(("table",)))),
+    "tr": (frozenset(("tr",)), frozenset(("table",))),
+    **dict.fromkeys(("tbody", "tfoot", "thead"), (frozenset("tbody tfoot thead".split()), frozenset(("table",)))),
+}
+_CELLS = frozenset("td th caption table template object".split())
+_TABLE = frozenset("td th caption table tr tbody tfoot thead colgroup".split())
+#: Open elements that are looked through for the one that a tag ends.
+_DEEP = 512
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar widget widgets footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies discussion pagination pager toolbar copyright legal skiplink".split()
@@ -60,6 +77,38 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def _ended(tag: str, end: str, stack: list[str]) -> int:
+    """How many open elements stay open as ``tag`` begins or ends."""
+    n = len(stack)
+    least = max(0, n - _DEEP)
+    if not end:
+        if tag in _P_ENDS:
+            n = _before(frozenset(("p",)), frozenset(("button",)) | _CELLS, stack, n, least)
+        if tag in _ENDS and tag not in _P_ENDS or tag in ("li", "dd", "dt"):
+            n = _before(*_ENDS[tag], stack, n, least)
+        return n
+    if tag in _INLINE:
+        for i in range(n - 1, least - 1, -1):
+            if stack[i] == tag:
+                return i
+            if stack[i] not in _INLINE:
+                break
+        return n
+    within = frozenset() if tag in _TABLE or tag in _ZONE or tag in ("html", "body") else _CELLS - {tag}
+    if tag == "li":
+        within |= {"ul", "ol"}
+    return _before(frozenset((tag,)), within, stack, n, least)
+
+
+def _before(tags: frozenset[str], within: frozenset[str], stack: list[str], n: int, least: int) -> int:
+    for i in range(n - 1, least - 1, -1):
+        if stack[i] in tags:
+            return i
+        if stack[i] in within:
+            break
+    return n
+
+
 def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
     """A text per block in page order, its characters inside links, and whether it is inside the marked article; boilerplate is ''."""
     texts: list[str] = []
@@ -67,7 +116,9 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
     zones: list[bool] = []
     held: list[str] = []
     in_link = n_linked = zone = 0
-    skip, depth, at = "", 0, 0
+    skip, level, at = "", 0, 0
+    stack: list[str] = []
+    last: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal n_linked
@@ -90,16 +141,29 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
         if not tag:
             continue
         tag, end, attrs = tag.lower(), m["end"], m["attrs"]
+        empty = tag in _VOID or not end and attrs.endswith("/") and (bool(skip) or tag in _MUTE)
+        del stack[_ended(tag, end, stack) :]
         if skip:
-            # an element left open ends with what holds it, or where the article begins
-            if tag in _ZONE or tag == "body" or end and tag == "html":
+            # an element left open ends with what holds it, by HTML's rules for optional end tags, or where the article begins
+            begins = (tag in _ZONE or tag == "body" or tag in _P_ENDS and skip in ("svg", "math") and "foreignobject" not in stack[level:]) and not end
+            if begins and (skip not in _MUTE or skip in ("svg", "math")) or end and tag in (*_ZONE, "body", "html"):
                 skip = ""
+                del stack[level:]
+            elif len(stack) <= level:
+                ended, skip = skip, ""
+                if end and tag == ended and len(stack) == level:
+                    continue
             else:
-                if tag == skip:
-                    depth += -1 if end else 0 if attrs.endswith("/") else 1
-                if not depth:
-                    skip = ""
+                if not end and not empty:
+                    stack.append(tag)
                 continue
+        if tag in _MUTE and not end:
+            if tag not in last:
+                last[tag] = max((x.start() for x in re.finditer(rf"</{tag}[\s>]", html, re.I)), default=-1)
+            if not empty and last[tag] >= at:
+                skip, level = tag, len(stack)
+                stack.append(tag)
+            continue
         if tag == "br":
             held.append(" ")
             continue
@@ -108,8 +172,11 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
             texts.append("")
             linked.append(0)
             zones.append(zone > 0)
-            skip, depth = tag, 1
+            skip, level = tag, len(stack)
+            stack.append(tag)
             continue
+        if not end and not empty:
+            stack.append(tag)
         if tag == "a":
             in_link = max(0, in_link + (-1 if end else 1))
         if tag not in _INLINE:
