@@ -201,6 +201,30 @@ def test_html():
     html.main_text('<a href="' * 20000)
 
 
+def test_html_left_open():
+    text = "Sentence of the story goes on and on. " * 6
+    want = text.strip()
+    for before in (
+        '<ul><li class="menu-item">A<li class="menu-item">B</ul>',
+        '<p class="notice">Notice.',
+        '<div><span class="ad">advert</div>',
+        '<div><svg class="i"/></div>',
+        '<div><svg class="i"></div>',
+        '<p><svg class="i">',
+        '<svg class="i"><path d="M0"/></svg><div><svg class="j"></div>',
+        '<div><select><option>a<option>b</div>',
+        '<table><tr><td class="menu">A<tr><td>B</table>',
+        '<dl><dt class="nav">A<dd class="nav">B</dl>',
+        '<div><div class="ad">x<p>y</p><ul><li>z</ul></div></div>',
+        "<noscript><p>No script</p></noscript><video><p>No video</p></video>",
+    ):
+        for page in (f"<body>{before}<p>{text}</body>", f"<body><article>{before}<p>{text}</article></body>"):
+            got = html.main_text(page).split("\n")
+            assert got[-1] == want and not {"A", "Notice.", "advert", "x", "y", "z", "No script", "No video"} & set(got), (page, got)
+    assert html.main_text("<article><p>one <svg><title>t</title></svg>two</p></article>") == "one two"
+    html.main_text("<div>" * 20000 + "</p></section>" * 20000)
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE % "x", 1), (1, "u", PAGE % "x", 1), (None, None, None, None), (2, "v", "", 0)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
@@ -260,6 +284,17 @@ def test_mix(docs, how):
     assert key(rows) == key(mix.mix(docs.repartition(3), **how).collect())
 
 
+def test_mix_small_source(spark):
+    rnd = random.Random(4)
+    rows = [(i, words(rnd.randint(20, 60), rnd), "large" if i % 20 else "small") for i in range(2000)]
+    taken, target = Counter(), {}
+    for r in mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=300).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for s, x in target.items():
+        assert abs(taken[s] - x) <= 64 + 0.02 * x, (s, taken[s], x)
+
+
 def test_mix_texts(docs):
     plan = {r.doc_id: r.taken for r in mix.mix(docs.dropDuplicates(["doc_id"]), block=16).collect() if r.doc_id is not None}
     out = mix.mixed_texts(docs.dropDuplicates(["doc_id"]), block=16)
