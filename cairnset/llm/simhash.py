@@ -94,9 +94,6 @@ def link_runs(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, k: int, ske
             fits = np.bitwise_count(x & ring[start[i], chain]) <= (chain + 1) * k // (k + 1)
             i, x = i[fits], x[fits]
         j = i + step
-        if sketch is not None and len(i):
-            i = i[alike(sketch[i], sketch[j]) >= least]
-            j = i + step
         while len(i):
             a, b = label[i], label[j]
             apart = a != b
@@ -196,67 +193,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-#: Bins of a similarity sketch, and the bits that may differ between copies in either of two views (distinct words, distinct word pairs).
-BINS, COPY_BITS = 128, 7
+#: Bins of a text's shingles, and the bins in a key: of two texts of Jaccard similarity 0.8 all but 1 in 10,000 share one of the 25 keys.
+BINS, BAND = 125, 5
+#: Rounds of hubs for keys that more than a bucket of groups share.
+ROUNDS = 3
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity that sketches say: equal bins among those that either fills."""
-    filled = ((a | b) != 0).sum(1)
-    return ((a == b) & (a != 0)).sum(1) / np.maximum(filled, 1)
+def shingles(text: bytes, words: int, seed: int) -> tuple[int, np.ndarray]:
+    """Hash of a text's words, and the hashes of its distinct ``words``-word shingles in order; none without a word."""
+    import xxhash
 
+    w = text.lower().split()
+    n = len(w) - words + 1
+    parts = map(b" ".join, zip(*(islice(w, i, None) for i in range(words)), strict=False)) if n > 0 else [b" ".join(w)] if w else []
+    return xxhash.xxh64_intdigest(b" ".join(w), seed), np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64))
 
-def views(text: bytes, words: int, seed: int) -> tuple[int, int, int, bytes]:
-    """Of a text: hash of its words, SimHash of its distinct words, of its distinct word pairs, and the sketch of its
-    ``words``-word shingles (the least hash in each of ``BINS`` bins, one byte of it, 0 if there is none)."""
+
+def keys(h: np.ndarray) -> list[int]:
+    """A hash for each ``BAND`` bins of shingles, of the least in each bin; bands without any are left out."""
     import xxhash
 
-    w = text.lower().split()
-    own = xxhash.xxh64_intdigest(b" ".join(w), seed)
-    if not w:
-        return own, 0, 0, bytes(BINS)
-    prints = []
-    for n in (1, 2, words):
-        m = len(w) - n + 1
-        parts = map(b" ".join, zip(*(islice(w, i, None) for i in range(n)), strict=False)) if n > 1 and m > 0 else w if m > 0 else [b" ".join(w)]
-        h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, max(m, 1)))
-        if n < words:
-            at = (h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel()
-            ones = np.einsum("kb,bj->kj", np.bincount(at, minlength=2048).reshape(8, 256), _BITS).ravel()
-            prints.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]))
-    place = (h >> np.uint64(57)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    sketch = np.zeros(BINS, np.uint8)
-    sketch[place[first]] = (h[first] % np.uint64(255)).astype(np.uint8) + 1
-    return own, prints[0], prints[1], sketch.tobytes()
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = COPY_BITS, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
+    place = (h % np.uint64(BINS)).astype(np.int64)
+    bins, first = np.unique(place, return_index=True)
+    least = np.zeros(BINS, np.uint64)
+    least[bins] = h[first]
+    rows = least.reshape(-1, BAND)
+    return [_signed(xxhash.xxh64_intdigest(rows[b].tobytes(), int(b))) for b in np.flatnonzero(rows.any(1))]
+
+
+def _judge(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (``a, b``) whose shingle ``sets`` (``own, s``) have the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(c)] for c in (2, 3))
+            same = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+            whole = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - same
+            yield batch.select([0, 1]).filter(pa.array(same >= similarity * whole - 1e-9))
+
+    a, b = (sets.select(F.col("own").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, component_id`` of every row with an id: groups of texts whose ``words``-word shingles have a Jaccard
     similarity of ``similarity`` or more, smallest id first.
 
-    A 64-bit SimHash of long shingles scatters such copies over 4 to 14 bits; one of distinct words and one of distinct word pairs keep
-    nearly all within 7, and either makes a candidate by pigeonring. The similarity is judged on sketches of 128 bins, whose
-    error is 0.035 at 0.8, so pairs count from one error below. Texts without a word are one group. Repeated ids join what any of their rows reaches.
+    A 64-bit SimHash scatters such copies, block edits most, so texts that share a key of their least shingles are candidates, and the similarity
+    is exact. A key's texts meet its least first, then, if more than ``bucket`` groups share it, further hubs; then all pairs in different groups,
+    so no link is missed and a group of n copies doesn't make n^2 pairs. Texts without a word are one group. Repeated ids join what any of their rows reaches.
     """
     tables = Written(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, one, two, sketch = zip(*(views(t.as_py() or b"", words, seed) for t in batch.column(1)), strict=True)
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (own, one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(sketch, pa.binary())], names=["doc_id", "own", "one", "two", "sketch"])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("doc_id is not null")
-    slim = tables.cut(slim.mapInArrow(run, "doc_id long, own long, one long, two long, sketch binary"), "views")
-    firsts = slim.groupBy("own").agg(F.min("doc_id").alias("node"))
-    classes = slim.join(firsts, "own").where(F.col("doc_id") == F.col("node")).dropDuplicates(["own"])
-    classes = tables.cut(classes.select("own", "node", "one", "two", "sketch"), "classes")
-    least = similarity - (similarity * (1 - similarity) / BINS) ** 0.5
-    found = links(classes.select("node", F.col("one").alias("fp"), "sketch"), tables, k, bucket, least, "-one")
-    found = found.union(links(classes.select("node", F.col("two").alias("fp"), "sketch"), tables, k, bucket, least, "-two"))
-    several = slim.groupBy("doc_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("doc_id")
-    also = slim.join(several, "doc_id", "left_semi").join(classes.select("own", "node"), "own").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    roots = components(found.union(also), tables)
-    named = classes.join(roots, "node", "left").select("own", F.coalesce("root", "node").alias("component_id"))
+            own, sets = zip(*(shingles(t.as_py() or b"", words, seed) for t in batch.column(1)), strict=True) if batch.num_rows else ((), ())
+            own = pa.array(np.array(own, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, pa.array([len(h) for h in sets], pa.int64()), pa.array([keys(h) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "own", "n", "keys"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, sets = zip(*(shingles(t.as_py() or b"", words, seed) for t in batch.column(1)), strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.uint64).view(np.int64)), pa.array([h.tobytes() for h in sets], pa.binary())], names=["own", "s"])
+
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("doc_id is not null")
+    slim = tables.cut(raw.mapInArrow(run, "doc_id long, own long, n long, keys array<long>"), "views")
+    classes = tables.cut(slim.groupBy("own").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    rows = classes.select("own", "n", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    rows = tables.cut(rows.join(shared, "key").select("own", "n", "key"), "keys")
+    near = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n")
+    # the shingles of texts that may have copies, from their smallest id
+    wanted = classes.join(rows.select("own").distinct(), "own", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+    sets = tables.cut(raw.join(wanted, "doc_id", "left_semi").mapInArrow(again, "own long, s binary").dropDuplicates(["own"]), "sets")
+    several = slim.groupBy("doc_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    edges = slim.join(several, "doc_id").select(F.col("own").alias("a"), F.col("lo").alias("b"))
+    grouped = rows.withColumn("group", F.col("own"))
+    for k in range(ROUNDS + 1):
+        met = grouped
+        if k:
+            crowded = tables.cut(grouped.groupBy("key").agg(F.countDistinct("group").alias("groups")).where(F.col("groups") > bucket).select("key"), f"crowded-{k}")
+            if crowded.isEmpty():
+                break
+            met = grouped.join(crowded, "key", "left_semi")
+        hubs = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("own", F.lit(k)), "own", "n", "group")).alias("h")).select("key", "h.own", "h.n", "h.group")
+        pairs = met.alias("a").join(hubs.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.group") != F.col("b.group")) & near)
+        edges = tables.cut(edges.union(_judge(pairs.select(F.col("a.own").alias("a"), F.col("b.own").alias("b")).distinct(), sets, similarity)), f"edges-{k}")
+        roots = components(edges, tables, f"hubs-{k}")
+        grouped = tables.cut(rows.join(roots, F.col("own") == F.col("node"), "left").select("own", "n", "key", F.coalesce("root", "own").alias("group")), f"grouped-{k}")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.own") < F.col("b.own")) & (F.col("a.group") != F.col("b.group")) & near
+    pairs = grouped.alias("a").join(grouped.alias("b"), apart).select(F.col("a.own").alias("a"), F.col("b.own").alias("b")).distinct()
+    roots = components(edges.union(_judge(pairs, sets, similarity)), tables)
+    named = classes.join(roots.toDF("other", "root"), F.col("own") == F.col("other"), "left")
+    named = tables.cut(named.select("own", "node", F.coalesce("root", "own").alias("root")), "named")
+    named = named.join(named.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("own", "component_id")
     return slim.select("doc_id", "own").join(named, "own").select("doc_id", "component_id")

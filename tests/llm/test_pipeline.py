@@ -49,6 +49,21 @@ def test_near_stage(spark):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_block_edits(spark):
+    """Texts cut short or extended, down to a similarity of 0.8: those are found, less similar ones aren't."""
+    rnd = random.Random(8)
+    rows, near, far = [], set(), set()
+    for i in range(150):
+        w = [f"v{rnd.randrange(10**6)}" for _ in range(rnd.randint(100, 600))]
+        n = int(len(w) * rnd.uniform(0.72, 0.95))
+        k = w[:n] if i % 2 else [f"b{rnd.randrange(10**6)}" for _ in range(len(w) * len(w) // n - len(w))] + w
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(k))]
+        (near if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else far).add(2 * i + 1)
+    groups = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 60 and len(far) > 30
+    assert {i for i in near if groups[i] == i} == set() and {i for i in far if groups[i] != i} == set()
+
+
 def test_stages_chain(spark):
     rows, _ = make(2)
     docs = spark.createDataFrame(rows, DOCS)
