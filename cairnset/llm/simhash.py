@@ -71,11 +71,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link_runs(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, k: int, sketch: np.ndarray | None = None, least: float = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that connect what is linked inside each run of equal ``bucket``: a forest, not all pairs.
-
-    With ``sketch`` a pair is linked only if its sketches say a Jaccard similarity of ``least`` or more.
-    """
+def link_runs(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that connect what is linked inside each run of equal ``bucket``: a forest, not all pairs."""
     seg = segments(k)
     ring = np.array([[sum(seg[(s + j) % (k + 1)] for j in range(n + 1)) for n in range(k + 1)] for s in range(k + 1)], np.uint64)
     n = len(fp)
@@ -105,13 +102,11 @@ def link_runs(bucket: np.ndarray, fp: np.ndarray, start: np.ndarray, k: int, ske
     return moved, label[moved]
 
 
-def links(classes: DataFrame, tables: Written, k: int = K, bucket: int = BUCKET, least: float = 0, name: str = "") -> DataFrame:
-    """Links ``a, b`` between the ``node``s of ``classes`` (``node, fp``, and with ``least`` a ``sketch``) that connect all
-    pairs within ``k`` bits (and of that similarity). A bucket of over ``bucket`` rows is cut by the pigeonhole rule on the bits that
+def links(classes: DataFrame, tables: Written, k: int = K, bucket: int = BUCKET) -> DataFrame:
+    """Links ``a, b`` between the ``node``s of ``classes`` (``node, fp``, each ``fp`` once: equal ones can't be cut apart) that connect all
+    pairs within ``k`` bits. A bucket of over ``bucket`` rows is cut by the pigeonhole rule on the bits that
     its key leaves free, again and again; so no task holds a large bucket and no link is lost."""
     first = [_signed(m) for m in segments(k)]
-    more = ["sketch"] if least else []
-    extra = ", sketch binary" if least else ""
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,14 +115,13 @@ def links(classes: DataFrame, tables: Written, k: int = K, bucket: int = BUCKET,
                 rows = batch.filter(pa.array(mask == m))
                 for part in _split(int(m) & _ALL, k + 1):
                     new = pa.array(np.full(rows.num_rows, _signed(int(m) & _ALL | part), np.int64))
-                    yield pa.RecordBatch.from_arrays([*rows.columns[:3], new, *rows.columns[4:]], names=["node", "fp", "start", "mask", *more])
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:3], new], names=["node", "fp", "start", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:
             node, fp, start, mask, key = (t.column(c).to_numpy() for c in ("node", "fp", "start", "mask", "key"))
             new = np.append(True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(fp), BINS) if least else None
-            i, j = link_runs(np.cumsum(new), fp.view(np.uint64), start, k, sketch, least)
+            i, j = link_runs(np.cumsum(new), fp.view(np.uint64), start, k)
             return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -148,20 +142,20 @@ def links(classes: DataFrame, tables: Written, k: int = K, bucket: int = BUCKET,
         if size:
             yield done(pa.Table.from_batches(held))
 
-    todo = classes.select("node", "fp", *more, F.posexplode(F.array(*[F.lit(m) for m in first])).alias("start", "mask"))
+    todo = classes.select("node", "fp", F.posexplode(F.array(*[F.lit(m) for m in first])).alias("start", "mask"))
     found, level = None, 0
     while True:
         rows = todo.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        large = tables.cut(rows.groupBy("mask", "key").count().where(F.col("count") > bucket).drop("count"), f"large{name}-{level}")
+        large = tables.cut(rows.groupBy("mask", "key").count().where(F.col("count") > bucket).drop("count"), f"large-{level}")
         again = not large.isEmpty()
         if again:
-            rows = tables.cut(rows, f"rows{name}-{level}")
+            rows = tables.cut(rows, f"rows-{level}")
         small = rows.join(large, ["mask", "key"], "left_anti") if again else rows
-        part = small.repartition("mask", "key").sortWithinPartitions("mask", "key").select("node", "fp", "start", "mask", "key", *more).mapInArrow(run, "a long, b long")
+        part = small.repartition("mask", "key").sortWithinPartitions("mask", "key").select("node", "fp", "start", "mask", "key").mapInArrow(run, "a long, b long")
         found = part if found is None else found.union(part)
         if not again:
             return found
-        todo = rows.join(large, ["mask", "key"], "left_semi").select("node", "fp", "start", "mask", *more).mapInArrow(finer, f"node long, fp long, start int, mask long{extra}")
+        todo = rows.join(large, ["mask", "key"], "left_semi").select("node", "fp", "start", "mask").mapInArrow(finer, "node long, fp long, start int, mask long")
         level += 1
 
 

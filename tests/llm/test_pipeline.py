@@ -64,6 +64,18 @@ def test_near_block_edits(spark):
     assert {i for i in near if groups[i] == i} == set() and {i for i in far if groups[i] != i} == set()
 
 
+def test_near_one_print(spark):
+    """More different texts of the same distinct words, so of one SimHash of those, than a bucket holds."""
+    base = [f"v{i}" for i in range(200)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[4 * i], w[4 * i + 1] = w[4 * i + 1], w[4 * i]
+        rows.append((i, " ".join(w)))
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), bucket=8).collect()
+    assert len(got) == 40 and {r.component_id for r in got} == {0}
+
+
 def test_stages_chain(spark):
     rows, _ = make(2)
     docs = spark.createDataFrame(rows, DOCS)
