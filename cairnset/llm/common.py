@@ -16,6 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spare_name(taken: list[str]) -> str:
+    """A column name that, in any case, isn't among ``taken``."""
+    lower = {c.lower() for c in taken}
+    return next(name for k in range(len(taken) + 1) if (name := f"_spare_{k}") not in lower)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -171,6 +171,30 @@ def test_viterbi():
     assert same == sum("z" not in t for t in texts)
 
 
+def test_bpe_paths(spark):
+    """Random strings over few letters, where most merges overlap, and every pair of pieces, against the library."""
+    import sentencepiece
+
+    sp, m, rnd = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Model.load(), random.Random(7)
+    texts = ["".join(rnd.choice(a) for _ in range(rnd.randint(1, 30))) for a in ("abn", "er st", "tion", "lls", "0123", "aeiéß ") for _ in range(400)]
+    texts += ["".join(rnd.choices(list(m.normal), k=2)).replace("▁", " ") for _ in range(4000)]
+    ids, ends = m.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[ends[k] : ends[k + 1]].tolist() == sp.encode(t), t
+
+
+def test_sentencepiece_odd(spark):
+    rows = [(1, "a b", "x", 1), (1, "a b", "x", 1), (None, None, "y", 2), (2, "", None, 3), (3, "w " * 400000, "z", 4), (4, "ü" * 30000, "z", 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _spare_0 string, _ids int")
+    out = pieces.encode(frame)
+    assert out.columns == [*frame.columns, "ids", "n_tokens"]
+    back = {(r.doc_id, r._ids): r for r in pieces.decode(out).collect()}
+    assert all(back[i, n].decoded == (t or "") and back[i, n]._spare_0 == x for i, t, x, n in rows)
+    assert pieces.decode(spark.createDataFrame([(1, None, 2)], "k int, ids array<int>, _spare_0 int")).first().decoded is None
+    bad = spark.sql("SELECT 7L AS doc_id, CAST(X'61FF62' AS STRING) AS text")
+    assert pieces.round_trip(bad).first().same and pieces.encode(bad).count() == 1
+
+
 def test_sentencepiece_table(docs, spark):
     rows = pieces.round_trip(docs).collect()
     assert len(rows) == docs.count() and all(r.same for r in rows)
