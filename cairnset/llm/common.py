@@ -22,6 +22,12 @@ def spare_name(taken: list[str]) -> str:
     return next(name for k in range(len(taken) + 1) if (name := f"_spare_{k}") not in lower)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns ``c0, c1, ...``, which no other column of an operator is called, and the new names by the old."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +48,10 @@ class Written:
         frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def collect(self) -> None:
+        """Spark frees shuffle files once the driver has collected what refers to them: have that done now."""
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, components
+from .common import Written, components, numbered
 
 K, SEGMENT = 3, 16
 #: Rows that one task compares with each other at once; larger buckets are cut finer by the same rule.
@@ -37,8 +37,14 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     if len(w) < words:
         return xxhash.xxh64_intdigest(b" ".join(w), seed)
     shingles = map(b" ".join, zip(*(islice(w, i, None) for i in range(words)), strict=False))
-    n = len(w) - words + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+    return _majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(w) - words + 1))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n = len(h)
+    if not n:
+        return 0
     at = (h.view(np.uint8).reshape(n, 8) + _PLACE).ravel()
     ones = np.einsum("kb,bj->kj", np.bincount(at, minlength=2048).reshape(8, 256), _BITS).ravel()
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
@@ -193,14 +199,15 @@ BINS, BAND = 125, 5
 ROUNDS = 3
 
 
-def shingles(text: bytes, words: int, seed: int) -> tuple[int, np.ndarray]:
-    """Hash of a text's words, and the hashes of its distinct ``words``-word shingles in order; none without a word."""
+def shingles(text: bytes, words: int, seed: int) -> tuple[int, int, np.ndarray]:
+    """Hash of a text's words, its SimHash, and the hashes of its distinct ``words``-word shingles in order; none without a word."""
     import xxhash
 
     w = text.lower().split()
     n = len(w) - words + 1
     parts = map(b" ".join, zip(*(islice(w, i, None) for i in range(words)), strict=False)) if n > 0 else [b" ".join(w)] if w else []
-    return xxhash.xxh64_intdigest(b" ".join(w), seed), np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64)
+    return xxhash.xxh64_intdigest(b" ".join(w), seed), _majority(h), np.unique(h)
 
 
 def keys(h: np.ndarray) -> list[int]:
@@ -229,39 +236,47 @@ def _judge(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
-    """``doc_id, component_id`` of every row with an id: groups of texts whose ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` or more, smallest id first.
+def near_texts(docs: DataFrame, tables: Written, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
+    """``doc_id, version, root`` of every row: groups of texts whose ``words``-word shingles have a Jaccard similarity of
+    ``similarity`` or more; ``version`` is the text's hash, and a group has one ``root``.
 
-    A 64-bit SimHash scatters such copies, block edits most, so texts that share a key of their least shingles are candidates, and the similarity
-    is exact. A key's texts meet its least first, then, if more than ``bucket`` groups share it, further hubs; then all pairs in different groups,
-    so no link is missed and a group of n copies doesn't make n^2 pairs. Texts without a word are one group. Repeated ids join what any of their rows reaches.
+    Candidates are texts whose SimHashes of shingles differ in at most ``K`` bits (by pigeonring), and, as block edits scatter a SimHash, texts that share a key of their least shingles;
+    the similarity is exact. A key's texts meet its least first, then, if more than ``bucket`` groups share it, further hubs; then all pairs in different groups,
+    so no link is missed and a group of n copies doesn't make n^2 pairs. Texts without a word, null ones among them, are one group.
     """
-    tables = Written(docs.sparkSession)
+
+    def each(batch: pa.RecordBatch) -> tuple:
+        got = [shingles(t.as_py() or b"", words, seed) for t in batch.column(batch.num_columns - 1)]
+        own, fp = (pa.array(np.array([g[k] for g in got], np.uint64).view(np.int64)) for k in (0, 1))
+        return own, fp, [g[2] for g in got]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, sets = zip(*(shingles(t.as_py() or b"", words, seed) for t in batch.column(1)), strict=True) if batch.num_rows else ((), ())
-            own = pa.array(np.array(own, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, pa.array([len(h) for h in sets], pa.int64()), pa.array([keys(h) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "own", "n", "keys"])
+            own, fp, sets = each(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, fp, pa.array([len(h) for h in sets], pa.int64()), pa.array([keys(h) for h in sets], pa.list_(pa.int64()))], names=["doc_id", "version", "own", "fp", "n", "keys"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, sets = zip(*(shingles(t.as_py() or b"", words, seed) for t in batch.column(1)), strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.uint64).view(np.int64)), pa.array([h.tobytes() for h in sets], pa.binary())], names=["own", "s"])
-
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("doc_id is not null")
-    slim = tables.cut(raw.mapInArrow(run, "doc_id long, own long, n long, keys array<long>"), "views")
-    classes = tables.cut(slim.groupBy("own").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+            own, _, sets = each(batch)
+            yield pa.RecordBatch.from_arrays([own, pa.array([h.tobytes() for h in sets], pa.binary())], names=["own", "s"])
+
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    slim = tables.cut(raw.mapInArrow(run, "doc_id long, version long, own long, fp long, n long, keys array<long>"), "views")
+    classes = tables.cut(slim.groupBy("own").agg(F.min("version").alias("version"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    # texts of one SimHash meet the least of them; of that each has links within K bits
+    alone = classes.groupBy("fp").agg(F.min("own").alias("node"))
+    linked = links(alone.select("node", "fp"), tables, bucket=bucket)
+    same = classes.join(alone, "fp").where(F.col("own") != F.col("node")).select(F.col("own").alias("a"), F.col("node").alias("b"))
+    linked = tables.cut(linked.union(same), "linked")
     rows = classes.select("own", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
     rows = tables.cut(rows.join(shared, "key").select("own", "n", "key"), "keys")
     near = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n")
-    # the shingles of texts that may have copies, from their smallest id
-    wanted = classes.join(rows.select("own").distinct(), "own", "left_semi").select(F.col("node").alias("doc_id")).distinct()
-    sets = tables.cut(raw.join(wanted, "doc_id", "left_semi").mapInArrow(again, "own long, s binary").dropDuplicates(["own"]), "sets")
-    several = slim.groupBy("doc_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("doc_id", "lo")
-    edges = slim.join(several, "doc_id").select(F.col("own").alias("a"), F.col("lo").alias("b"))
+    # the shingles of texts that may have copies
+    met = rows.select("own").union(linked.select("a")).union(linked.select("b")).distinct()
+    wanted = classes.join(met, "own", "left_semi").select("version").distinct()
+    sets = tables.cut(raw.join(wanted, "version", "left_semi").select("t").mapInArrow(again, "own long, s binary").dropDuplicates(["own"]), "sets")
+    edges = _judge(linked, sets, similarity)
     grouped = rows.withColumn("group", F.col("own"))
     for k in range(ROUNDS + 1):
         met = grouped
@@ -278,7 +293,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.own") < F.col("b.own")) & (F.col("a.group") != F.col("b.group")) & near
     pairs = grouped.alias("a").join(grouped.alias("b"), apart).select(F.col("a.own").alias("a"), F.col("b.own").alias("b")).distinct()
     roots = components(edges.union(_judge(pairs, sets, similarity)), tables)
-    named = classes.join(roots.toDF("other", "root"), F.col("own") == F.col("other"), "left")
-    named = tables.cut(named.select("own", "node", F.coalesce("root", "own").alias("root")), "named")
-    named = named.join(named.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("own", "component_id")
-    return slim.select("doc_id", "own").join(named, "own").select("doc_id", "component_id")
+    named = classes.join(roots.toDF("other", "root"), F.col("own") == F.col("other"), "left").select("own", F.coalesce("root", "own").alias("root"))
+    return tables.cut(slim.select("doc_id", "version", "own").join(named, "own").select("doc_id", "version", "root"), "near-texts")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``doc_id, component_id`` of every row with an id: the smallest id in the groups of ``near_texts``; repeated ids join what any of their rows reaches."""
+    tables = Written(docs.sparkSession)
+    named = near_texts(docs, tables, id_col, text_col, **how).where("doc_id is not null")
+    least = tables.cut(named.groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    roots = components(named.join(least, "root").select("doc_id", "least"), tables, "ids")
+    return named.select("doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of ``docs`` of each group of ``near_texts``: that of the smallest id (null last), then of the smallest hash of the text; of rows alike in id and text one.
+
+    Columns stay, whatever their names. Null, empty and blank texts are one group. An empty table gives an empty one; texts are compared whole.
+    """
+    tables = Written(docs.sparkSession)
+    named = near_texts(docs, tables, id_col, text_col, **how)
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "version")
+    firsts = named.groupBy("root").agg(F.min(place).alias("first")).select("first.doc_id", "first.version")
+    counts = named.groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("times"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.version") == F.col("b.version"))
+    stay = tables.cut(counts.alias("a").join(firsts.alias("b"), same, "left_semi"), "stay")
+    for name in ("views", "classes", "linked", "keys", "sets", "near-texts"):
+        tables.drop(name)
+    rows, of = numbered(docs)
+    rows = rows.join(stay, F.col(of[id_col]).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(of[text_col]) == F.col("version")))
+    several = rows.where("times > 1").groupBy("doc_id", "version").agg(F.first(F.struct(*of.values())).alias("row")).select("row.*")
+    return rows.where("times = 1").select(*of.values()).union(several).toDF(*of)

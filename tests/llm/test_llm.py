@@ -321,15 +321,42 @@ def test_mix_small_source(spark):
         assert abs(taken[s] - x) <= 64 + 0.02 * x, (s, taken[s], x)
 
 
-def test_mix_texts(docs):
-    plan = {r.doc_id: r.taken for r in mix.mix(docs.dropDuplicates(["doc_id"]), block=16).collect() if r.doc_id is not None}
-    out = mix.mixed_texts(docs.dropDuplicates(["doc_id"]), block=16)
-    assert out.columns == docs.columns
-    got = defaultdict(int)
+def test_mix_tiny(spark):
+    """Sources of a few words beside a large one: their words are in the mix, too."""
+    rnd = random.Random(3)
+    rows = [(i, words(50, rnd), "large") for i in range(300)] + [(900 + i, words(5 + i, rnd), f"tiny{i}") for i in range(7)] + [(999, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix.mix(frame, block=512).collect()
+    taken, at = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        at[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r["size"]
+    for s, x in at.items():
+        assert abs(taken[s] - x) <= 1 + 0.04 * x, (s, taken[s], x)
+    assert sum(r.taken for r in mix.mix(frame.where("doc_id = 906")).collect()) == 16  # 150 % of 11 words
+
+
+def test_mix_texts(docs, spark):
+    plan = Counter(len(re.findall(WORD, r.text or "")) for r in mix.mixed_texts(docs, block=16).collect())
+    taken = sum(r.taken for r in mix.mix(docs, block=16).collect())
+    assert sum(k * n for k, n in plan.items()) == taken
+    own = defaultdict(int)
+    for r in mix.mix(docs, block=16).collect():
+        own[r.doc_id] += r.taken
+    out = mix.mixed_texts(docs, block=16)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got, source = defaultdict(int), {r.doc_id: r.source for r in docs.collect()}
     for r in out.collect():
         got[r.doc_id] += len(re.findall(WORD, r.text or ""))
-        assert r.n_chars == len(r.text)
-    assert all(got[i] == n for i, n in plan.items())
+        assert r.text is None or r.n_chars == len(r.text)
+        assert r.source == source[r.doc_id] or r.doc_id is None
+    assert all(got[i] == n for i, n in own.items())
+    names = ["doc_id", "text", "source", "start", "length", "rest", "blocks", "keep", "size", "row", "shard", "n"]
+    frame = spark.createDataFrame([(1, "a b c", "s", *"xxxxxxxxx"), (1, "a b", "s", *"yyyyyyyyy"), (None, "c", None, *"zzzzzzzzz")], "doc_id long, " + ", ".join(f"{c} string" for c in names[1:]))
+    out = mix.mixed_texts(frame)
+    assert out.columns == names and {r[3:] for r in out.collect()} <= {tuple("xxxxxxxxx"), tuple("yyyyyyyyy"), tuple("zzzzzzzzz")}
+    assert mix.mixed_texts(frame.limit(0)).count() == 0
 
 
 def test_mix_empty(spark):

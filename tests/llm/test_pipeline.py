@@ -1,13 +1,16 @@
-"""The pipeline's stages on planted copies, and the whole against its parts."""
+"""The pipeline's stages on planted copies, and the whole against plain Python."""
 
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline as cp
 from cairnset.llm import lines, mix, pieces, quality, simhash
 
+from .test_llm import WORD, fresh, roots, slow_distance, slow_quality, targets
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -76,6 +79,34 @@ def test_near_one_print(spark):
     assert len(got) == 40 and {r.component_id for r in got} == {0}
 
 
+def test_near_recall(spark):
+    """Near copies by scattered edits, from 0.8 on: at least nine in ten are found, texts under 0.75 stay."""
+    rnd = random.Random(15)
+    rows, near, far = [], set(), set()
+    for i in range(120):
+        w = [f"v{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 500))]
+        k = list(w)
+        for at in rnd.sample(range(len(k)), max(1, int(len(k) * rnd.uniform(0.005, 0.05)))):
+            k[at] = f"e{rnd.randrange(10**6)}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(k))]
+        j = jaccard(rows[-2][1], rows[-1][1])
+        (near if j >= 0.8 else far if j < 0.75 else set()).add(2 * i + 1)
+    kept = {r.doc_id for r in simhash.first_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 40 and len(far) > 10
+    assert len(near & kept) <= 0.1 * len(near) and far <= kept and set(range(0, 240, 2)) <= kept
+
+
+def test_first_copies_odd(spark):
+    text = " ".join(f"v{i}" for i in range(80))
+    names = ["doc_id", "text", "row", "version", "root", "times", "own", "a"]
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text + " x"), (5, "other"), (5, "more"), (7, None), (8, ""), (9, " "), (None, "none"), (None, "none")]
+    frame = spark.createDataFrame([(*r, *["c"] * 6) for r in rows], "doc_id long, " + ", ".join(f"{c} string" for c in names[1:])).repartition(3)
+    got = simhash.first_copies(frame)
+    assert got.columns == names
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, text), (5, "other"), (5, "more"), (7, None), (None, "none")])
+    assert simhash.first_copies(frame.limit(0)).count() == 0
+
+
 def test_stages_chain(spark):
     rows, _ = make(2)
     docs = spark.createDataFrame(rows, DOCS)
@@ -94,6 +125,60 @@ def test_stages_chain(spark):
     assert sorted(m.decode(r.ids) for r in ids.collect()) == sorted(r.text for r in mixed.collect())
 
 
+def slow_lines(rows):
+    """Rows without lines that occur earlier, or nearly so, by edit similarity of all pairs."""
+    norm = sorted({x.strip(" \t\r\x0b\x0c").lower() for _, t, *_ in rows for x in t.split("\n")} - {""})
+    near = [(a, b) for i, a in enumerate(norm) for b in norm[i + 1 :] if (m := max(len(a), len(b))) and min(len(a), len(b)) >= 0.8 * m and len(set(a.split()) & set(b.split())) * 3 > len(set(a.split())) and slow_distance(a, b) <= int(0.2 * m + 1e-9)]
+    group, seen, out = roots(norm, near), {}, []
+    for r in sorted(rows):
+        keep = [x for n, x in enumerate(r[1].split("\n")) if not (k := x.strip(" \t\r\x0b\x0c").lower()) or seen.setdefault(group[k], (r[0], n)) == (r[0], n)]
+        if re.search(WORD, "\n".join(keep)):
+            out.append((r[0], "\n".join(keep), *r[2:]))
+    return out
+
+
+def slow_near(rows):
+    sets = {r[0]: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for r in rows for w in [r[1].lower().split()]}
+    group = roots([r[0] for r in rows], [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 0.8 * len(x | y)])
+    return [r for r in rows if group[r[0]] == r[0]]
+
+
+def test_run_plain(spark, tmp_path):
+    """All stages against plain Python versions; the mix, whose blocks are seeded, by its targets and by what its texts may hold."""
+    import sentencepiece
+
+    rnd = random.Random(9)
+    shared = [fresh(8, rnd) for _ in range(5)]
+    rows = []
+    for i in range(40):
+        own = [fresh(rnd.randint(20, 40), rnd) for _ in range(3)]
+        own.insert(rnd.randrange(4), rnd.choice(shared) + rnd.choice(["", "s", "!"]))
+        rows.append((i, "\n".join(own), "en", f"s{i % 3}", 0))
+    for i in range(10):  # near copies: the lines in one, so that the line stage leaves them
+        rows.append((100 + i, rows[i][1].replace("\n", " ") + " " + fresh(2, rnd), "en", "s1", 0))
+    rows += [(200, "spam spam spam " * 60, "en", "s1", 0), (201, "short", "en", "s2", 0), (202, None, "en", None, 0)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    want = slow_near(slow_lines([r for r in rows if slow_quality(r[1])["kept"]]))
+    step = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, f in cp.STAGES[:3]:
+        step = f(spark, step, folder)
+    assert sorted((r.doc_id, r.text) for r in step.collect()) == sorted(r[:2] for r in want) and len(want) < 50
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    of, sizes, taken = {r[0]: r for r in want}, defaultdict(int), defaultdict(int)
+    for r in want:
+        sizes[r[3]] += len(r[1].split())
+    out = cp.run(spark, folder).collect()
+    for r in out:
+        text = sp.decode(r.ids)
+        assert sp.encode(text) == r.ids and r.n_tokens == len(r.ids) and r.n_chars == len(text) and r.source == of[r.doc_id][3]
+        words = iter(of[r.doc_id][1].split())
+        assert all(w in words for w in text.split())  # a part of the text, in order
+        taken[r.source] += len(text.split())
+    for source, x in targets(sizes).items():
+        assert abs(taken[source] - x) <= 64 + 0.04 * x
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_run(spark, tmp_path, n):
     rows, _ = make(3)
