@@ -16,123 +16,158 @@ from pyspark.sql.window import Window
 from .common import Written
 
 SHARD, BLOCK = 8192, 4096
-M, M0, EF_BUILD, EF = 12, 32, 40, 96
+M, M0, EF_BUILD, EF = 12, 32, 40, 256
 _NONE = np.int32(-1)
 
 
 def _diverse(a: np.ndarray, block: np.ndarray, near: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
-    """Of each row's candidates (nearest first) up to ``m`` that are nearer to it than to one taken before, -1 after them."""
+    """Places among each row's candidates (nearest first) of ``m`` to take: those nearer to it than to one taken before, then the nearest of the rest."""
     v = a[near]
-    among = np.einsum("bid,bjd->bij", v, v)
+    among = v @ v.transpose(0, 2, 1)
     taken = np.zeros(near.shape, bool)
     best = np.full(near.shape, -np.inf)
     count = np.zeros(len(near), np.int64)
     for c in range(near.shape[1]):
-        ok = (sims[:, c] > best[:, c]) & (count < m)
+        ok = (sims[:, c] > best[:, c]) & (sims[:, c] > -np.inf) & (count < m)
         taken[:, c] = ok
         count += ok
         best = np.where(ok[:, None], np.maximum(best, among[:, :, c]), best)
     # spare places go to the nearest of the rest
-    order = np.argsort(~taken, axis=1, kind="stable")[:, :m]
-    return np.take_along_axis(near, order, 1)
+    return np.argsort(~taken, axis=1, kind="stable")[:, :m]
 
 
-def build(x: np.ndarray, seed: int = 5, m: int = M, m0: int = M0, ef: int = EF_BUILD) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Layers from the lowest: (nodes, flat neighbour array of shape nodes x width, -1 for none)."""
-    n = len(x)
+def _augmented(x: np.ndarray) -> np.ndarray:
     norm = np.einsum("nd,nd->n", x, x)
-    a = np.hstack([x, np.sqrt(np.maximum(0, norm.max() - norm))[:, None]]).astype(np.float32)
-    level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(m)).astype(int)
-    level[0] = max(level.max(), 0)
-    all_nodes, all_links = [], []
-    for layer in range(level.max() + 1):
-        nodes = np.flatnonzero(level >= layer)
-        width = m0 if layer == 0 else m
-        k, own = min(ef, len(nodes) - 1), a[nodes]
-        links = np.full((len(nodes), width), _NONE)
-        if k > 0:
-            src, dst, sim = [], [], []
-            for lo in range(0, len(nodes), 256):
-                rows = np.arange(lo, min(lo + 256, len(nodes)))
-                s = own[rows] @ own.T
-                s[np.arange(len(rows)), rows] = -np.inf
-                near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                got = np.take_along_axis(s, near, 1)
-                order = np.argsort(-got, axis=1, kind="stable")
-                near, got = np.take_along_axis(near, order, 1), np.take_along_axis(got, order, 1)
-                kept = _diverse(own, rows, near, got, min(m if layer else m0 // 2, k))
-                src.append(np.repeat(rows, kept.shape[1]))
-                dst.append(kept.ravel())
-                sim.append(np.take_along_axis(s, kept, 1).ravel())
-            i, j, s = np.concatenate(src), np.concatenate(dst), np.concatenate(sim)
-            # own links first, then those of others, nearest first; as many as there are places
-            i, j, s, own_first = np.append(i, j), np.append(j, i), np.append(s, s), np.append(np.zeros(len(i)), np.ones(len(j)))
-            order = np.lexsort((-s, own_first, i))
-            i, j = i[order], j[order]
-            _, first = np.unique(i * len(nodes) + j, return_index=True)
-            first.sort()
-            i, j = i[first], j[first]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            fits = place < width
-            links[i[fits], place[fits]] = j[fits]
-        all_nodes.append(nodes.astype(np.int32))
-        all_links.append(np.where(links >= 0, nodes[links], _NONE).astype(np.int32))
-    return all_nodes, all_links
-
-
-def search(x: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray], queries: np.ndarray, k: int, ef: int = EF) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` nearest nodes found for each query and their products, a beam of ``ef`` for all queries in step."""
-    x, n = x.astype(np.float32), len(x)
-    out_ids, out_sims = [], []
+    return np.hstack([x, np.sqrt(np.maximum(0, norm.max() - norm))[:, None]]).astype(np.float32)
+
+
+def _descend(x: np.ndarray, links: np.ndarray, q: np.ndarray, at: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From each query's node to ever nearer neighbours in one layer, all queries in step."""
+    live = np.arange(len(q))
+    while len(live):
+        near = links[at[live]]
+        s = np.where(near >= 0, np.einsum("qmd,qd->qm", x[near], q[live]), -np.inf)
+        top = s.argmax(1)
+        better = s[np.arange(len(live)), top] > best[live]
+        live, near, s, top = live[better], near[better], s[better], top[better]
+        at[live], best[live] = near[np.arange(len(live)), top], s[np.arange(len(live)), top]
+    return at, best
+
+
+def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, at: np.ndarray, best: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``ef`` nearest nodes that a best-first search finds in one layer from each query's node, all queries in step; -1 where there are fewer."""
+    n, rows, step = len(x), np.arange(len(q)), 4
+    width = min(ef, n)
+    ids, sims = np.full((len(q), width), _NONE), np.full((len(q), width), -np.inf, np.float32)
+    ids[:, 0], sims[:, 0] = at, best
+    open_, seen = np.zeros(ids.shape, bool), np.zeros((len(q), n), bool)
+    open_[:, 0] = True
+    seen[rows, at] = True
+    live = rows
+    while len(live):
+        s = np.where(open_[live], sims[live], -np.inf)
+        pick = np.argsort(-s, axis=1, kind="stable")[:, : min(step, width)]
+        chosen = np.take_along_axis(ids[live], pick, 1)
+        chosen[np.take_along_axis(s, pick, 1) == -np.inf] = _NONE
+        open_[live[:, None], pick] = False
+        near = np.where(chosen[:, :, None] >= 0, links[chosen], _NONE).reshape(len(live), -1)
+        near = np.sort(near, axis=1)
+        fresh = (near >= 0) & ~seen[live[:, None], near]
+        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+        r, c = np.nonzero(fresh)
+        seen[live[r], near[r, c]] = True
+        new = np.full(near.shape, -np.inf, np.float32)
+        new[r, c] = np.einsum("nd,nd->n", x[near[r, c]], q[live[r]])
+        both_s = np.hstack([sims[live], new])
+        both_i, both_o = np.hstack([ids[live], near]), np.hstack([open_[live], fresh])
+        top = np.argpartition(-both_s, width - 1, axis=1)[:, :width]
+        sims[live], ids[live] = np.take_along_axis(both_s, top, 1), np.take_along_axis(both_i, top, 1)
+        open_[live] = np.take_along_axis(both_o, top, 1) & (sims[live] > -np.inf)
+        live = live[open_[live].any(1)]
+    order = np.argsort(-sims, axis=1, kind="stable")
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    return np.where(sims > -np.inf, ids, _NONE), sims
+
+
+def build(x: np.ndarray, seed: int = 5, m: int = M, m0: int = M0, ef: int = EF_BUILD, batch: int = 256) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Layers from the lowest: (nodes, flat neighbour array of shape nodes x width, -1 for none).
+
+    Layers are made from the highest down, and in a layer the nodes of those above come first. Nodes are inserted in batches, at most as many as there are already:
+    each is searched greedily from the top, its neighbours are chosen from what a beam finds in its layer and from its batch, and take it up in
+    turn, a full one keeping a diverse choice.
+    """
+    n, a, rng = len(x), _augmented(x), np.random.default_rng(seed)
+    level = np.floor(-np.log(1 - rng.random(n)) / np.log(m)).astype(int)
+    order = np.lexsort((rng.random(n), -level))
+    all_nodes, all_links, above = [], [], []
+    for layer in range(level.max(), -1, -1):
+        nodes, width = order[level[order] >= layer], m if layer else m0
+        links = np.full((n, width), _NONE)
+        done = 1
+        while done < len(nodes):
+            shared = int((level[nodes] > layer).sum())  # those of the layers above: while they are inserted, a search can't come through these
+            own = nodes[done : min(done + min(batch, done), shared if done < shared else n)]
+            q, at = a[own], np.full(len(own), nodes[0])
+            best = np.einsum("qd,qd->q", a[at], q)
+            for upper in above if done >= shared else []:
+                at, best = _descend(a, upper, q, at, best)
+            found, sims = _beam(a, links, q, at, best, ef)
+            mates = q @ q.T
+            np.fill_diagonal(mates, -np.inf)
+            near, s = np.hstack([found, np.broadcast_to(own.astype(np.int32), mates.shape)]), np.hstack([sims, mates])
+            top = np.argsort(-s, axis=1, kind="stable")[:, :ef]
+            near, s = np.take_along_axis(near, top, 1), np.take_along_axis(s, top, 1)
+            _link(a, links, own, near, s, width // 2 if layer == 0 else width)
+            done += len(own)
+        above.append(links)
+        kept = np.sort(nodes)
+        all_nodes.append(kept.astype(np.int32))
+        all_links.append(links[kept])
+    # a search begins at the first node of the highest layer
+    return all_nodes[::-1], all_links[::-1]
+
+
+def _link(a: np.ndarray, links: np.ndarray, own: np.ndarray, near: np.ndarray, sims: np.ndarray, m: int) -> None:
+    """Link each of ``own`` to a diverse ``m`` of its candidates (``near``, nearest first), and these back to it."""
+    width = links.shape[1]
+    got = _diverse(a, own, np.maximum(near, 0), sims, m)
+    kept = np.where(np.take_along_axis(np.where(sims > -np.inf, near, _NONE), got, 1) >= 0, np.take_along_axis(near, got, 1), _NONE)
+    links[own, : kept.shape[1]] = kept
+    i, j = np.repeat(own, kept.shape[1]), kept.ravel()
+    i, j = i[j >= 0], j[j >= 0]
+    s = np.einsum("nd,nd->n", a[i], a[j])
+    by = np.lexsort((-s, j))
+    i, j = i[by], j[by]
+    place = np.arange(len(j)) - np.searchsorted(j, j)
+    i, j, place = i[place < width], j[place < width], place[place < width]
+    back, row = np.unique(j, return_inverse=True)
+    new = np.full((len(back), width), _NONE)
+    new[row, place] = i
+    both = np.sort(np.hstack([links[back], new]), axis=1)
+    both[:, 1:][both[:, 1:] == both[:, :-1]] = _NONE
+    s = np.where(both >= 0, np.einsum("bcd,bd->bc", a[both], a[back]), -np.inf).astype(np.float32)
+    top = np.argsort(-s, axis=1, kind="stable")
+    both, s = np.take_along_axis(both, top, 1), np.take_along_axis(s, top, 1)
+    got = _diverse(a, back, np.maximum(both, 0), s, width)
+    links[back] = np.take_along_axis(np.where(s > -np.inf, both, _NONE), got, 1)
+
+
+def search(x: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray], queries: np.ndarray, k: int, ef: int = EF) -> np.ndarray:
+    """The ``k`` nearest nodes found for each query, a beam of ``ef`` for all queries in step; -1 where there are fewer."""
+    x, whole = x.astype(np.float32), []
+    for own, near in zip(nodes, links, strict=True):
+        whole.append(np.full((len(x), near.shape[1]), _NONE))
+        whole[-1][own] = near
+    out = [np.zeros((0, k), np.int32)]
     for lo in range(0, len(queries), 256):
         q = queries[lo : lo + 256].astype(np.float32)
-        rows = np.arange(len(q))
-        at = np.full(len(q), nodes[-1][0], np.int32)
+        at = np.full(len(q), nodes[-1][0])
         best = x[at[0]] @ q.T
-        for layer in range(len(nodes) - 1, 0, -1):
-            where = np.full(n, _NONE)
-            where[nodes[layer]] = np.arange(len(nodes[layer]))
-            live = rows
-            while len(live):
-                near = links[layer][where[at[live]]]
-                s = np.where(near >= 0, np.einsum("qmd,qd->qm", x[near], q[live]), -np.inf)
-                top = s.argmax(1)
-                better = s[np.arange(len(live)), top] > best[live]
-                live, near, s, top = live[better], near[better], s[better], top[better]
-                at[live], best[live] = near[np.arange(len(live)), top], s[np.arange(len(live)), top]
-        width, step = min(ef, n), 4
-        ids, sims = np.full((len(q), width), _NONE), np.full((len(q), width), -np.inf, np.float32)
-        ids[:, 0], sims[:, 0] = at, best
-        open_, seen = np.zeros(ids.shape, bool), np.zeros((len(q), n), bool)
-        open_[:, 0] = True
-        seen[rows, at] = True
-        live = rows
-        while len(live):
-            s = np.where(open_[live], sims[live], -np.inf)
-            pick = np.argsort(-s, axis=1, kind="stable")[:, : min(step, width)]
-            chosen = np.take_along_axis(ids[live], pick, 1)
-            chosen[np.take_along_axis(s, pick, 1) == -np.inf] = _NONE
-            open_[live[:, None], pick] = False
-            near = np.where(chosen[:, :, None] >= 0, links[0][chosen], _NONE).reshape(len(live), -1)
-            near = np.sort(near, axis=1)
-            fresh = (near >= 0) & ~seen[live[:, None], near]
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-            r, c = np.nonzero(fresh)
-            seen[live[r], near[r, c]] = True
-            new = np.full(near.shape, -np.inf, np.float32)
-            new[r, c] = np.einsum("nd,nd->n", x[near[r, c]], q[live[r]])
-            both_s = np.hstack([sims[live], new])
-            both_i, both_o = np.hstack([ids[live], near]), np.hstack([open_[live], fresh])
-            top = np.argpartition(-both_s, width - 1, axis=1)[:, :width]
-            sims[live], ids[live] = np.take_along_axis(both_s, top, 1), np.take_along_axis(both_i, top, 1)
-            open_[live] = np.take_along_axis(both_o, top, 1) & (sims[live] > -np.inf)
-            live = live[open_[live].any(1)]
-        order = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, width)]
-        got = np.take_along_axis(ids, order, 1)
-        out_ids.append(np.where(np.take_along_axis(sims, order, 1) > -np.inf, got, _NONE))
-    found = np.concatenate(out_ids) if out_ids else np.zeros((0, k), np.int32)
-    out_sims = np.zeros(found.shape)
-    return found, out_sims
+        for upper in whole[:0:-1]:
+            at, best = _descend(x, upper, q, at, best)
+        ids, _ = _beam(x, whole[0], q, at, best, ef)
+        out.append(np.pad(ids[:, :k], ((0, 0), (0, max(0, k - ids.shape[1]))), constant_values=-1))
+    return np.concatenate(out)
 
 
 def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -198,7 +233,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         nodes = [np.frombuffer(b, np.int32) for b in g["nodes"]]
         links = [np.frombuffer(b, np.int32).reshape(len(a), -1) for a, b in zip(nodes, g["links"], strict=True)]
         q, own = np.stack(asked["v"].to_list()).astype(np.float64), asked["query_id"].to_numpy(np.int64)
-        found, _ = search(x, nodes, links, q, k + 1, ef)
+        found = search(x, nodes, links, q, k + 1, ef)
         r, c = np.nonzero(found >= 0)
         node = found[r, c]
         score = products(x[node], q[r])

@@ -2,7 +2,8 @@
 
 Markup is stripped to a line per block, in page order. Lines of menus, notices, adverts, forms and the like, told by element, role
 or class name, stay as empty lines. Text lengths are summed over sliding windows of lines; text begins where the sums
-surge and ends where they dive to zero. On a page that marks its article any text there counts, else only lines that aren't mostly links.
+surge and ends where they dive to zero. On a page that marks its article lines outside of it don't count and those inside count several times, as the marks say
+that they are text; else lines that are mostly links don't count.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters in a window at which text begins on a page that doesn't mark its article.
-SURGE = 86
+#: Characters in a window at which text begins, or half of the most in a window of the page, if that is less; and how often those of a marked article count.
+SURGE, MARKED = 86, 8
 _RAW = "script|style|textarea|title"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<[/!?a-zA-Z][^>]*>",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*>",
     re.S | re.I,
 )
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr picture input meta link base".split())
@@ -52,13 +53,14 @@ _NAMES = frozenset(
 )
 _OWN = frozenset(("article", "post", "entry", "story"))
 _NOT = frozenset(("has", "with", "no", "without"))
+_NOT_LAST = frozenset(("free", "less"))
 _ATTR = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 def _named(value: str) -> bool:
     for name in value.lower().split():
         parts = re.split(r"[-_]+", name)
-        if parts[0] in _NOT or (parts[0] in _OWN and parts[-1] == "header"):
+        if parts[0] in _NOT or parts[-1] in _NOT_LAST or (parts[0] in _OWN and parts[-1] == "header"):
             continue
         if parts[0] in _NAMES or parts[-1] in _NAMES:
             return True
@@ -190,15 +192,20 @@ def lines(html: str) -> tuple[list[str], list[int], list[bool]]:
     return texts, linked, zones
 
 
+def sums(weights: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Characters in each window of lines, by its first."""
+    n = len(weights)
+    return np.convolve(np.append(weights, np.zeros(window - 1, np.int64)), np.ones(window, np.int64))[window - 1 : window - 1 + n]
+
+
 def spans(weights: np.ndarray, surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
     """[begin, end) of the lines from each surge (a window sum above ``surge``) to the next dive (a window sum of zero)."""
-    n = len(weights)
-    sums = np.convolve(np.append(weights, np.zeros(window - 1, np.int64)), np.ones(window, np.int64))[window - 1 : window - 1 + n]
+    n, all_sums = len(weights), sums(weights, window)
     out, i = [], 0
-    for begin in np.flatnonzero(sums > surge).tolist():
+    for begin in np.flatnonzero(all_sums > surge).tolist():
         if begin < i:
             continue
-        dive = np.flatnonzero(sums[begin:] == 0)
+        dive = np.flatnonzero(all_sums[begin:] == 0)
         i = begin + int(dive[0]) if len(dive) else n
         while begin and weights[begin - 1] and (not out or begin > out[-1][1]):
             begin -= 1
@@ -214,17 +221,16 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not texts:
         return ""
     size = np.array([len(t) for t in texts], np.int64)
-    if any(zones):
-        weights, surge = np.where(zones, size, 0), 0
-    else:
-        weights = np.where(2 * np.array(linked) > size, 0, size)
-    found = spans(weights, surge, window) or spans(weights, 0, window)
+    # features: marks raise a line's weight, and what is outside of them, or mostly links, has none
+    weights = MARKED * size * np.array(zones) if any(zones) else np.where(2 * np.array(linked) > size, 0, size)
+    surge = min(surge, int(sums(weights, window).max(initial=0)) // 2)  # short pages surge, too
+    found = spans(weights, surge, window)
     return "\n".join(texts[i] for begin, end in found for i in range(begin, end) if weights[i])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row; a null page gives ''. Ids and urls pass as they are, null or repeated;
-    other columns aren't read. Nothing is shuffled; each page is read whole, by itself."""
+    other columns, whatever their names, aren't read. Nothing is shuffled; each page, however long, is read whole, by itself. An empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -251,10 +251,55 @@ def test_html_left_open():
     html.main_text("<div>" * 20000 + "</p></section>" * 20000)
 
 
+def slow_main(texts, sizes, window=3):
+    """Line blocks in plain Python: lines between surge and dive, with what joins them before the surge."""
+    at = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    surge = min(html.SURGE, max(at, default=0) // 2)
+    keep, i = set(), 0
+    while i < len(at):
+        if at[i] > surge:
+            begin = i
+            while begin and sizes[begin - 1]:
+                begin -= 1
+            while i < len(at) and at[i]:
+                i += 1
+            keep |= set(range(begin, i))
+        else:
+            i += 1
+    return "\n".join(t for k, t in enumerate(texts) if k in keep and sizes[k])
+
+
+def test_html_blocks():
+    """Against plain Python on random pages, marked and not; on some of them surge and dive points leave lines out."""
+    rnd, decided = random.Random(2), Counter()
+    for _ in range(300):
+        marked, lines_, body = rnd.random() < 0.5, [], []
+        for _ in range(rnd.randint(0, 25)):
+            kind, text = rnd.choice("pppnl"), fresh(rnd.choice([1, 2, 5, 30]), rnd)
+            lines_.append((kind, text))
+            body.append({"p": f"<p>{text}</p>", "n": f'<div class="ad-box"><p>{text}</p></div>', "l": f'<p><a href="/x">{text}</a></p>'}[kind])
+        page = f"<body><p>{fresh(40, rnd)}</p><article>{''.join(body)}</article></body>" if marked else f"<body>{''.join(body)}</body>"
+        if marked:
+            lines_.insert(0, ("outside", page.split("<p>")[1].split("</p>")[0]))
+        texts = ["" if k == "n" else t for k, t in lines_]
+        sizes = [0 if k in ("n", "outside") or (k == "l" and not marked) else len(t) * (html.MARKED if marked else 1) for k, t in lines_]
+        if marked and not body:
+            sizes = [len(t) for t in texts]  # no line is marked
+        want = slow_main(texts, sizes)
+        assert html.main_text(page) == want, page
+        decided[marked] += want != "\n".join(t for t, n in zip(texts, sizes, strict=True) if n)
+    assert decided[False] and decided[True]
+
+
+def test_html_attributes():
+    assert html.main_text('<article><p title="a<b">one</p><div class="ad-free"><p>two</p></div><p class="ad">three</p></article>') == "one\ntwo"
+    html.main_text('<a href="x' + "<b c='" * 20001)
+
+
 def test_html_table(spark):
     rows = [(1, "u", PAGE % "x", 1), (1, "u", PAGE % "x", 1), (None, None, None, None), (2, "v", "", 0)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
-    assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted((str(i), t := html.main_text(h), len(t)) for i, _, h, _ in rows)
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -505,6 +550,28 @@ def test_ann(spark, size):
     assert ann.nearest(frame.limit(0), frame).count() == ann.nearest(frame, frame.limit(0)).count() == 0
 
 
+def test_ann_merged(spark):
+    """Ten shards of the embeddings table: recall of the merged answers against brute force, and of a shard's graph by itself."""
+    table = "/root/testdata/sf0.1/embeddings.parquet"
+    frame = spark.read.parquet(table).select("vec_id", "embedding")
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in frame.where(ann.usable("embedding")).collect()}
+    ids, x = np.array(list(rows)), np.stack(list(rows.values()))
+    got = defaultdict(set)
+    for r in ann.nearest(frame, frame.where("vec_id % 20 = 0"), 20, shard=max(1, len(ids) // 10)).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in got:
+        s = x @ rows[q]
+        s[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.argsort(-s)[:20]].tolist()))
+    assert len(got) >= len(ids) // 25 and hits >= 0.95 * 20 * len(got)
+    nodes, links = ann.build(x)
+    found = ann.search(x, nodes, links, x[::20], 20)
+    true = np.argsort(-(x[::20] @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(f) & set(t)) / 20 for f, t in zip(found, true, strict=True)]) >= 0.95
+    assert all((near < len(x)).all() and (near != own[:, None]).all() for own, near in zip(nodes, links, strict=True))
+
+
 # 9
 
 
