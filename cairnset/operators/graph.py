@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +36,25 @@ def components(links: DataFrame) -> DataFrame:
 
 def spread(start: DataFrame, edges: DataFrame, allowed: DataFrame, rounds: int = 1000) -> DataFrame:
     """``origin, cell_id`` reached from ``start`` (``origin, cell_id``) over ``edges`` (``src, dst``), each step onto an
-    ``allowed`` (``origin, cell_id``) row. The frontier is joined, never the whole result."""
+    ``allowed`` (``origin, cell_id``) row.
+
+    A round joins the frontier and writes what is new. Rounds stay tables of their own; as in a counter, sixteen of a size are merged to one of the next,
+    so a row is written again a logarithm of the rounds times at most, and a plan reads few tables.
+    """
     step = cut(start.select("origin", "cell_id").distinct())
-    seen = step
+    seen: list[list[DataFrame]] = [[step]]
+    whole = lambda: reduce(DataFrame.union, [t for ts in seen for t in ts])
     for _ in range(rounds):
         new = step.join(edges, F.col("cell_id") == F.col("src")).select("origin", F.col("dst").alias("cell_id")).distinct()
-        step = cut(new.join(allowed, ["origin", "cell_id"], "left_semi").join(seen, ["origin", "cell_id"], "left_anti"))
+        step = cut(new.join(allowed, ["origin", "cell_id"], "left_semi").join(whole(), ["origin", "cell_id"], "left_anti"))
         if step.isEmpty():
-            break
-        seen = cut(seen.union(step))
-    else:
-        raise ValueError("the frontier is still moving")
-    return seen
+            return whole()
+        seen[0].append(step)
+        for k, tables in enumerate(seen):
+            if len(tables) < 16:
+                break
+            if k + 1 == len(seen):
+                seen.append([])
+            seen[k + 1].append(cut(reduce(DataFrame.union, tables)))
+            seen[k] = []
+    raise ValueError("the frontier is still moving")

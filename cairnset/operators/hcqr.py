@@ -1,13 +1,14 @@
 """Cell query results on a hierarchical grid: cells are pixels of several levels.
 
 Level l has 2^l x 2^l pixels over the world; a pixel's id is ``tile << 8 | level`` with ``tile = y * 2^l + x``, x by latitude.
-A result has the columns of a cell query result, its cells being leaves that don't overlap. Set operations bring both sides to one level and are those of
-``cqr``; ``compactified`` makes four full children their parent.
+A result has the columns of a cell query result, its cells being leaves that don't overlap. Set operations are those of ``cqr`` on the pieces that the leaves of both
+sides cut the world into; ``compactified`` makes four full children their parent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,26 +59,36 @@ def descendants(p: Column, level: int) -> Column:
     return F.when(level_of(p) >= level, F.array(p)).otherwise(deep)
 
 
+def ancestors(p: Column, deepest: int) -> Column:
+    """``p`` and all pixels above it; it is at level ``deepest`` or above."""
+    return F.array_compact(F.array(*[F.when(level_of(p) >= k, ancestor(p, k)) for k in range(deepest + 1)]))
+
+
 def expanded(a: DataFrame, item_pixels: DataFrame, level: int) -> DataFrame:
-    """Leaves above ``level`` pushed down to it. ``item_pixels``: ``item_id, cell_id`` at that level or below."""
-    full = a.where("full_match").select(F.explode(descendants(F.col("cell_id"), level)).alias("cell_id"))
+    """Leaves above ``level`` pushed down to it, a level at a time. ``item_pixels``: ``item_id, cell_id`` at that level or below."""
+    p = F.col("cell_id")
+    full = a.where("full_match").select("cell_id")
+    for _ in range(level):
+        full = full.select(F.explode(F.when(level_of(p) < level, children(p)).otherwise(F.array(p))).alias("cell_id"))
     part = a.where("not full_match")
-    deep = part.where(level_of(F.col("cell_id")) >= level).select("cell_id", "item_id")
-    own = item_pixels.select("item_id", ancestor(F.col("cell_id"), level).alias("_to"), F.col("cell_id").alias("_own"))
-    high = part.where(level_of(F.col("cell_id")) < level).join(own, "item_id")
-    at_levels = [F.when(level_of(F.col("cell_id")) == k, ancestor(F.col("_own"), k) == F.col("cell_id")) for k in range(level)]
-    high = high.where(F.coalesce(*at_levels, F.lit(False))).select(F.col("_to").alias("cell_id"), "item_id")
+    deep = part.where(level_of(p) >= level).select("cell_id", "item_id")
+    own = item_pixels.select("item_id", ancestor(p, level).alias("_to"), F.explode(ancestors(ancestor(p, level), level)).alias("cell_id"))
+    high = part.where(level_of(p) < level).join(own, ["item_id", "cell_id"]).select(F.col("_to").alias("cell_id"), "item_id")
     return cqr.build(full, deep.union(high))
 
 
 def compactified(a: DataFrame, deepest: int) -> DataFrame:
-    """Four full children become their parent, level by level."""
+    """Four full children become their parent, level by level; what is written at a level are its own pixels."""
+    p = F.col("cell_id")
     full = cut(a.where("full_match").select("cell_id").distinct())
+    done = [full.where((level_of(p) == 0) | (level_of(p) > deepest))]
+    risen = full.where("false")
     for level in range(deepest, 0, -1):
-        here = full.where(level_of(F.col("cell_id")) == level).withColumn("up", ancestor(F.col("cell_id"), level - 1))
-        whole = here.groupBy("up").count().where("count = 4").select("up")
-        full = cut(full.join(here.join(whole, "up", "left_semi").select("cell_id"), "cell_id", "left_anti").union(whole))
-    return cqr.all_to_full(full).union(a.where("not full_match"))
+        here = cut(full.where(level_of(p) == level).union(risen).withColumn("up", ancestor(p, level - 1)))
+        risen = here.groupBy("up").count().where("count = 4").select("up")
+        done.append(here.join(risen, "up", "left_anti").select("cell_id"))
+        risen = risen.select(F.col("up").alias("cell_id"))
+    return cqr.all_to_full(reduce(DataFrame.union, [*done, risen])).union(a.where("not full_match"))
 
 
 def tree(a: DataFrame, deepest: int) -> DataFrame:
@@ -89,12 +100,35 @@ def tree(a: DataFrame, deepest: int) -> DataFrame:
     return leaves.union(inner).select("cell_id", level_of(F.col("cell_id")).alias("level"), "kind")
 
 
+def pieces(leaves: DataFrame, deepest: int) -> DataFrame:
+    """``cell_id``: the coarsest pixels that cut the world so that each of ``leaves`` (``cell_id``) is made of whole ones: of the pixels above a leaf the
+    children that aren't above one themselves. At most four for each pixel above a leaf, however deep leaves are."""
+    p = F.col("cell_id")
+    above = cut(leaves.select(F.explode(ancestors(p, deepest)).alias("up"), "cell_id").where(F.col("up") != p).select(F.col("up").alias("cell_id")).distinct())
+    world = leaves.sparkSession.range(1).select(F.lit(0).cast("long").alias("cell_id"))
+    return above.select(F.explode(children(p)).alias("cell_id")).union(world).join(above, "cell_id", "left_anti")
+
+
+def split(a: DataFrame, into: DataFrame, owners: DataFrame) -> DataFrame:
+    """``a`` on pieces: a full leaf fills its pieces, the items of a partial one go where they are. ``into``: ``cell_id, up`` of each piece with all pixels from itself
+    upwards; ``owners``: ``item_id, cell_id``, the piece of each item."""
+    leaves = a.select(F.col("cell_id").alias("up"), "full_match").distinct()
+    mine = into.join(leaves, "up")
+    part = a.where("not full_match").select(F.col("cell_id").alias("up"), "item_id")
+    whole = part.join(mine.where("up = cell_id").select("up"), "up", "left_semi").select(F.col("up").alias("cell_id"), "item_id")
+    cut_up = part.join(mine.where("not full_match and up <> cell_id").select("up", "cell_id"), "up").join(owners, ["cell_id", "item_id"], "left_semi").select("cell_id", "item_id")
+    return cqr.build(mine.where("full_match").select("cell_id"), whole.union(cut_up))
+
+
 def combine(operation: Callable[..., DataFrame], a: DataFrame, b: DataFrame, item_pixels: DataFrame, level: int) -> DataFrame:
-    """A set operation of ``cqr`` on both sides at ``level``, compacted."""
-    universe = item_pixels.select("item_id", ancestor(F.col("cell_id"), level).alias("cell_id"))
-    x, y = cut(expanded(a, item_pixels, level)), cut(expanded(b, item_pixels, level))  # each is read several times
-    done = operation(x, y) if operation is cqr.intersect else operation(x, y, universe)
-    return compactified(cut(done), level)
+    """A set operation of ``cqr`` on the pieces that the leaves of both sides make, compacted. Leaves are at ``level`` or above, items' pixels there or below."""
+    p = F.col("cell_id")
+    a, b = cut(a), cut(b)  # each is read several times
+    into = cut(pieces(a.select("cell_id").union(b.select("cell_id")).distinct(), level).select("cell_id", F.explode(ancestors(p, level)).alias("up")))
+    own = item_pixels.select("item_id", F.explode(ancestors(ancestor(p, level), level)).alias("cell_id"))
+    owners = cut(own.join(into.where("up = cell_id").select("cell_id"), "cell_id", "left_semi").select("item_id", "cell_id"))
+    x, y = cut(split(a, into, owners)), cut(split(b, into, owners))
+    return compactified(cut(operation(x, y) if operation is cqr.intersect else operation(x, y, owners)), level)
 
 
 #: Grids by name: the pixel of a point.

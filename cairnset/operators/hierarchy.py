@@ -117,7 +117,7 @@ def cover(cell_parents: DataFrame, parents: DataFrame, root: int, levels: int =
 def dilate(base: DataFrame, edges: DataFrame, distances: DataFrame, metres: float) -> DataFrame:
     """Cells reached from a base cell over cells that aren't base and whose centre is within ``metres`` of that base cell."""
     base = base.select("cell_id").distinct()
-    near = distances.where(F.col("distance") < metres).select(F.col("src").alias("origin"), F.col("dst").alias("cell_id"))
-    allowed = near.join(base, "cell_id", "left_anti").join(base.select(F.col("cell_id").alias("origin")), "origin", "left_semi")
+    mine = distances.join(base.select(F.col("cell_id").alias("src")), "src", "left_semi").where(F.col("distance") < metres)
+    allowed = cut(mine.select(F.col("src").alias("origin"), F.col("dst").alias("cell_id")).join(base, "cell_id", "left_anti"))
     seen = graph.spread(base.select(F.col("cell_id").alias("origin"), "cell_id"), edges, allowed)
     return seen.join(base, "cell_id", "left_anti").select("cell_id").distinct()

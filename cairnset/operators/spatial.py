@@ -53,13 +53,15 @@ def geo_predicate(argument: str) -> Column:
     return geo.rect_has(rect(a, b, c, d), F.col("lat"), F.col("lon"))
 
 
-def distances(cells: DataFrame, metres: float, grid: tuple = WORLD) -> DataFrame:
-    """``src, dst, distance`` of cells whose centres are nearer than ``metres``: centres meet over the tiles that the circle's box touches."""
+def distances(cells: DataFrame, metres: float, grid: tuple = WORLD, origins: DataFrame | None = None) -> DataFrame:
+    """``src, dst, distance`` of cells whose centres are nearer than ``metres``, from the ``origins`` (``cell_id``; all cells) on: centres meet over the tiles that the
+    circle's box touches."""
     reach = metres / geo.RADIUS * 57.29577951308232 + 1e-9
     wide = F.least(F.lit(180.0), F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(90.0)))), F.lit(1e-9)))
     box = lambda shift: F.struct((F.col("lat") - reach).alias("min_lat"), (F.col("lat") + reach).alias("max_lat"), (F.col("lon") - wide + shift).alias("min_lon"), (F.col("lon") + wide + shift).alias("max_lon"))
     near = F.array_distinct(F.flatten(F.array(*[geo.rect_tiles(box(s), *grid) for s in (-360.0, 0.0, 360.0)])))
-    a = cells.select(F.col("cell_id").alias("src"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.explode(near).alias("tile"))
+    some = cells if origins is None else cells.join(origins.select("cell_id").distinct(), "cell_id", "left_semi")
+    a = some.select(F.col("cell_id").alias("src"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.explode(near).alias("tile"))
     b = cells.select(F.col("cell_id").alias("dst"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), geo.grid_bin(F.col("lat"), F.col("lon"), *grid).cast("long").alias("tile"))
     d = geo.distance(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
     return a.join(b, "tile").where("src <> dst").select("src", "dst", d.alias("distance")).where(F.col("distance") < metres)

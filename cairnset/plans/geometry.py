@@ -444,7 +444,8 @@ SELECT DISTINCT cell_id FROM w WHERE cell_id NOT IN (SELECT cell_id FROM base)""
 
 @query(_D + _DILATE)
 def sp20_dilate(d: Domain) -> DataFrame:
-    return hierarchy.dilate(d.spark.range(3).toDF("cell_id"), d.cell_edges(), spatial.distances(d.cells(), 9e6), 9e6)
+    base = d.spark.range(3).toDF("cell_id")
+    return hierarchy.dilate(base, d.cell_edges(), spatial.distances(d.cells(), 9e6, origins=base), 9e6)
 
 
 @query(_D + _DILATE)

@@ -262,9 +262,9 @@ def hc9_stored_tree(d: Domain) -> DataFrame:
 
 @query(_PIXELS + " SELECT cell_id, count(*) AS n FROM (SELECT cell_id, item_id FROM ap UNION SELECT cell_id, item_id FROM u WHERE cell_id IN (SELECT cell_id FROM af)) GROUP BY 1")
 def hc10_cell_index(d: Domain) -> DataFrame:
-    """From an index by cell: its pixels' sizes, kept for the next asker."""
+    """From an index by cell: its pixels' sizes, stored for the next asker."""
     a, _, u = _grid_sides(d)
-    return cqr.sizes(a, u).select("cell_id", "n").persist()
+    return cut(cqr.sizes(a, u).select("cell_id", "n"))
 
 
 @query(_PIXELS + " SELECT cell_id, item_id FROM px WHERE starts_with(segment, 'M')")

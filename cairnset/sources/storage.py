@@ -17,9 +17,11 @@ CODECS = ("zstd", "snappy", "gzip", "uncompressed")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``. Where that is unset a local session (tests) gets a temporary one; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cairnset-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
