@@ -28,9 +28,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 #: Bytes of text that are encoded together, and characters of words that advance together.
-ROOM, CELLS = 1 << 22, 1 << 17
+ROOM, CELLS = 1 << 20, 1 << 16
 #: Words whose ids a worker keeps at about most, and bytes of each.
-KNOWN, SHORT = 1 << 18, 64
+KNOWN, SHORT = 1 << 17, 64
 _MUL, _ALL, _LEAD = 0x9E3779B97F4A7C15, (1 << 64) - 1, 18
 
 
@@ -479,6 +479,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col:
                 ids, ends = own.encode_batch(_large(texts.slice(begin, end - begin)))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns[:-1], lists, pa.array(np.diff(ends), pa.int64())], names=[*rest, ids_col, count_col])
+        pa.default_memory_pool().release_unused()  # the worker stays, for tasks that may not need it
 
     schema = docs.select(*rest).schema.add(ids_col, T.ArrayType(T.IntegerType())).add(count_col, T.LongType())
     return docs.select(*rest, F.make_valid_utf8(F.col(text_col).cast("string")).alias(spare_name(rest))).mapInArrow(run, schema)
@@ -531,6 +532,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text
                     same = np.array([a == b for a, b in zip(_strings(data, cut), texts.to_pylist(), strict=True)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists, pa.array(np.diff(ends), pa.int64()), pa.array(same)], names=["doc_id", "ids", "n_tokens", "same"])
+        pa.default_memory_pool().release_unused()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("t"))
     return slim.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, same boolean")

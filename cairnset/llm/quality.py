@@ -19,7 +19,7 @@ COVERAGE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINES, LINE_CHARS, SYMBOL_WORDS = 0.30, 0.20, 0.10
 LEAST_WORDS, REPEAT = 50, 50
 #: Bytes of text that are hashed together.
-ROOM = 1 << 22
+ROOM = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,6 +142,7 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                     yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=columns)
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[c].astype(np.int64)) for c in FIGURES), *(pa.array(got[c]) for c in ("base_failed", "kept"))], names=["doc_id", *FIGURES, "base_failed", "kept"])
+        pa.default_memory_pool().release_unused()  # the worker stays, for tasks that may not need it
 
     text = F.col(text_col).cast("string").alias("_whole_text")
     if keep:
