@@ -28,9 +28,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 #: Bytes of text that are encoded together, and characters of words that advance together.
-ROOM, CELLS = 1 << 20, 1 << 16
+ROOM, CELLS = 1 << 21, 1 << 16
 #: Words whose ids a worker keeps at about most, and bytes of each.
-KNOWN, SHORT = 1 << 17, 64
+KNOWN, SHORT = 1 << 18, 64
 _MUL, _ALL, _LEAD = 0x9E3779B97F4A7C15, (1 << 64) - 1, 18
 
 
