@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.storage import cut
 from . import cqr
 
 
@@ -54,3 +55,41 @@ def index(strs: DataFrame) -> DataFrame:
     suffix = ends.select("e", F.lit(text.SUFFIX), "s")
     inner = ends.select(F.explode(text.prefixes(F.col("e"))).alias("node"), F.lit(text.SUBSTRING), "s")
     return exact.union(prefix).union(suffix).union(inner).distinct()
+
+
+#: Characters of a suffix that are kept in the table of suffixes.
+WIDTH = 16
+
+
+class Suffixes:
+    """A stored index that answers exact, prefix, suffix and substring queries: the strings, and the first ``WIDTH`` characters of each of their suffixes, in order.
+
+    A string of n characters has n short rows, whatever its length. A query is a range of the ordered table: of its row groups those are read whose bounds
+    hold the query's beginning; longer queries are checked against the strings found.
+    """
+
+    def __init__(self, strs: DataFrame):
+        named = cut(strs.select("s").distinct().where(F.length("s") > 0).withColumn("sid", F.xxhash64("s", F.length("s"))))
+        at = named.select("sid", F.length("s").alias("n"), F.explode(F.sequence(F.lit(1), F.length("s"))).alias("at"), "s")
+        rows = at.select(F.substring("s", F.col("at"), F.lit(WIDTH)).alias("key"), "sid", "at", (F.col("n") - F.col("at") + 1).alias("size"))
+        self.strs, self.named = cut(strs.where(F.length("s") > 0).withColumn("sid", F.xxhash64("s", F.length("s"))).select("item_id", "sid")), named
+        self.rows = cut(rows.repartitionByRange("key").sortWithinPartitions("key"))
+
+    def strings(self, q: str, kind: int) -> DataFrame:
+        """``sid, s`` of the strings that match; an empty query matches all."""
+        if not q:
+            return self.named.select("sid", "s").where(F.lit(not kind & text.EXACT))
+        hit = self.rows.where(F.startswith("key", F.lit(q[:WIDTH])))
+        if kind & (text.EXACT | text.PREFIX):
+            hit = hit.where("at = 1")
+        if kind & (text.EXACT | text.SUFFIX):
+            hit = hit.where(F.col("size") == len(q))
+        found = hit.select("sid", "at").join(self.named, "sid")
+        return found.where(F.substring("s", F.col("at"), F.lit(len(q))) == q).select("sid", "s").distinct()
+
+    def items(self, q: str, kind: int) -> DataFrame:
+        return self.strs.join(self.strings(q, kind), "sid", "left_semi").select("item_id").distinct()
+
+    def counts(self, q: str, kind: int) -> DataFrame:
+        """``s, n``: the strings that match, with the number of their rows."""
+        return self.strs.join(self.strings(q, kind), "sid").groupBy("s").agg(F.count(F.lit(1)).alias("n"))

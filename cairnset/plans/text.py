@@ -116,16 +116,16 @@ def tx14_flattened(d: Domain) -> DataFrame:
 
 @query("SELECT DISTINCT item_id, 'd r' AS q FROM strs WHERE contains(s, 'd r') UNION SELECT item_id, '#2' FROM strs WHERE contains(s, '#2')")
 def tx15_suffix_trie(d: Domain) -> DataFrame:
-    """Substrings found as prefixes of suffixes."""
-    rows = d.part_strs().select("item_id", F.explode(text.suffixes(F.col("s"))).alias("e"))
-    rows = rows.select("item_id", "e", F.explode(F.array(F.lit("d r"), F.lit("#2"))).alias("q"))
-    return rows.where(F.startswith("e", F.col("q"))).select("item_id", "q").distinct()
+    """Substrings found as prefixes of suffixes, in a stored table of these."""
+    index = textindex.Suffixes(d.part_strs())
+    return index.items("d r", text.SUBSTRING).withColumn("q", F.lit("d r")).union(index.items("#2", text.SUBSTRING).withColumn("q", F.lit("#2")))
 
 
 @query("SELECT s, count(*) AS n FROM strs WHERE s = 'cold rod' OR starts_with(s, 'Brand#1') GROUP BY 1")
 def tx16_trie_find(d: Domain) -> DataFrame:
-    """Exact and prefix lookup of a payload, here how many items have the string."""
-    return d.part_strs().where((F.col("s") == "cold rod") | F.startswith("s", F.lit("Brand#1"))).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    """Exact and prefix lookup of a payload, here how many items have the string, in the stored table."""
+    index = textindex.Suffixes(d.part_strs())
+    return index.counts("cold rod", text.EXACT).union(index.counts("Brand#1", text.PREFIX))
 
 
 @query("SELECT e, count(DISTINCT s) AS n FROM (SELECT s, substr(s, CAST(i AS INT)) AS e FROM (SELECT DISTINCT s FROM strs), generate_series(1, length(s)) g(i)) GROUP BY 1 ORDER BY e")
