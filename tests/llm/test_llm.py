@@ -674,6 +674,17 @@ def test_lines_recall(spark):
     assert {i for i, *_ in rows[::2]} <= kept
 
 
+def test_lines_large_blocks(spark):
+    """Blocks of more classes than a bucket lose no link: the result doesn't depend on the bucket."""
+    rnd = random.Random(8)
+    words = fresh(24, rnd).split()
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(2, 5)))) for i in range(500)]
+    rows += [(500 + i, t[:k] + rnd.choice("xyz") + t[k + 1 :]) for i, t in rows[:200] for k in [rnd.randrange(len(t))]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, parts = (sorted(map(tuple, lines.dedup_lines(frame, bucket=b).collect())) for b in (1 << 20, 2))
+    assert whole == parts and 0 < len(whole) < len(rows)
+
+
 def test_lines_empty(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
