@@ -685,6 +685,34 @@ def test_lines_large_blocks(spark):
     assert whole == parts and 0 < len(whole) < len(rows)
 
 
+def test_lines_alike(spark):
+    """Against brute force at 0.8, whatever share of the words is the same: typos in most words, blocks put in or taken away at either end, repetitions."""
+    rnd = random.Random(9)
+    texts, pairs = [], []
+    for i in range(160):
+        a = fresh(rnd.choice([1, 4, 15, 30, 60]), rnd) if i % 8 else "añ𝒳" * rnd.randint(1, 60)
+        if i % 4 == 0:
+            b = " ".join(w[:-1] + rnd.choice("xyz") for w in a.split())
+        elif i % 4 == 1:
+            b = a[rnd.randint(0, len(a) // 4) :] + fresh(rnd.randint(1, 2), rnd)
+        elif i % 4 == 2:
+            at = rnd.randrange(len(a))
+            b = a[:at] + fresh(rnd.randint(1, 6), rnd) + a[at:]
+        else:
+            b = a[len(a) // 6 :] + a[: len(a) // 6]
+        if a != b:
+            pairs.append((2 * i, 2 * i + 1))
+            texts += [(2 * i, a), (2 * i + 1, b)]
+    of = dict(texts)
+    frame = spark.createDataFrame(texts, "class long, t string")
+    frame = frame.select("class", "t", F.when(F.length("t") > lines.LONG, lines.shortened(F.col("t"))).alias("s"))
+    got = {(r.a, r.b) for r in lines.alike(spark.createDataFrame(pairs, "a long, b long"), frame, 0.8).collect()}
+    most = lambda a, b: int(0.2 * max(len(a), len(b)) + 1e-9)
+    want = {(a, b) for a, b in pairs if slow_distance(of[a], of[b]) <= most(of[a], of[b])}
+    apart = [(a, b) for a, b in want if len(of[a]) > 80 and len(set(of[a].split()) & set(of[b].split())) < 0.2 * len(set(of[a].split()))]
+    assert got == want and len(apart) > 5 and len(want) < len(pairs)
+
+
 def test_lines_empty(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
