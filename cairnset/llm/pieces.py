@@ -450,11 +450,11 @@ def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.int64), pc.utf8_length(texts).to_numpy().astype(np.int64)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``ROOM`` bytes; a longer text is a run by itself."""
+def _slices(texts: pa.Array, size: int = ROOM) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes; a longer text is a run by itself."""
     ends, begin = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
     while begin < len(texts):
-        room = ROOM + (ends[begin - 1] if begin else 0)
+        room = size + (ends[begin - 1] if begin else 0)
         end = max(begin + 1, int(np.searchsorted(ends, room, "right")))
         yield begin, end
         begin = end
@@ -464,18 +464,18 @@ def _large(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "").cast(pa.large_string())
 
 
-def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
-    """``docs`` with the ids of the whole text and their number. A null or empty text has none; bytes that aren't UTF-8 count as U+FFFD. Columns of these
+def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens", keep: bool = True, room: int = ROOM) -> DataFrame:
+    """``docs`` (without the text if not ``keep``: then no worker holds it twice) with the ids of the whole text and their number. A null or empty text has none; bytes that aren't UTF-8 count as U+FFFD. Columns of these
     names are replaced; others, whatever their names, and repeated rows pass as they are. An empty table gives an empty one. Long texts are encoded
-    whole, each by itself. The model is read on the driver and sent along; nothing is shuffled."""
+    whole, each by itself, others about ``room`` bytes at once. The model is read on the driver and sent along; nothing is shuffled."""
     proto = _proto(model)
-    rest = [c for c in docs.columns if c not in (ids_col, count_col)]
+    rest = [c for c in docs.columns if c not in (ids_col, count_col) and (keep or c != text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(proto)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for begin, end in _slices(texts):
+            for begin, end in _slices(texts, room):
                 ids, ends = own.encode_batch(_large(texts.slice(begin, end - begin)))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns[:-1], lists, pa.array(np.diff(ends), pa.int64())], names=[*rest, ids_col, count_col])

@@ -107,6 +107,17 @@ def test_first_copies_odd(spark):
     assert simhash.first_copies(frame.limit(0)).count() == 0
 
 
+def test_tokens_once(spark):
+    """The text goes to the workers once and doesn't come back; ids are those of encode(), odd texts included."""
+    rows = [(1, "one text of words"), (2, ""), (3, None), (1, "ünïcödé " * 40_000), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cp.tokens(spark, docs, "")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.split("\n") if "MapInArrow" in x)
+    assert got.columns == ["doc_id", "ids", "n_tokens"] and "text#" not in line[line.rindex("[") :]
+    assert sorted(map(str, got.collect())) == sorted(map(str, pieces.encode(docs).drop("text").collect()))
+
+
 def test_stages_chain(spark):
     rows, _ = make(2)
     docs = spark.createDataFrame(rows, DOCS)
