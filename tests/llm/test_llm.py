@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -713,6 +714,59 @@ def test_lines_alike(spark):
     assert got == want and len(apart) > 5 and len(want) < len(pairs)
 
 
+def test_lines_counts(spark):
+    """Counts of characters keep every pair of near lines of a block, and most others don't meet."""
+    rnd = random.Random(4)
+    texts = [fresh(rnd.randint(1, 12), rnd) for _ in range(40)] + ["eñ𝒳" * 9, "e" * 700]
+    for a in texts[:]:
+        k = list(a)
+        for _ in range(rnd.randint(1, max(1, len(a) // 5))):
+            k[rnd.randrange(len(k))] = rnd.choice(["", "e", "x", "ñ", "zz"])
+        texts.append("".join(k))
+    texts = dict(enumerate(dict.fromkeys(t for t in texts if t)))
+    rows = lines.prints(spark.createDataFrame(list(texts.items()), "class long, t string")).where("view = 0")
+    rows = rows.withColumn("fp", F.lit(0).cast("long")).withColumn("key", F.lit(0)).cache()
+    got = {(r.a, r.b) for r in rows.alias("a").join(rows.alias("b"), lines._near(0.8)).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).collect()}
+    both = [(a, b) for a in texts for b in texts if a != b and min(len(texts[a]), len(texts[b])) >= 0.8 * max(len(texts[a]), len(texts[b]))]
+    near = {(a, b) for a, b in both if slow_distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)}
+    assert len(near) > 40 and near <= got <= set(both) and len(got) < 0.5 * len(both)
+
+
+def test_lines_passage(spark, monkeypatch):
+    """Lines that share a passage with their longest words but are no copies aren't made into pairs; what the texts of candidates don't need is freed before they are shuffled."""
+    made, there, cut = {}, set(), lines.Written.cut
+
+    def seen(self, frame, name):
+        if name == "texts":
+            there.update(Path(self.root.removeprefix("file://")).glob("*"))
+        out = cut(self, frame, name)
+        if name.startswith("pairs"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines.Written, "cut", seen)
+    passage = "internationalisation notwithstanding counterrevolutionary straightforwardness " * 2
+    rows = [(i, " ".join([c * 6] * 12) + " " + passage) for i, c in enumerate("eaiontrslduhcmz")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == rows
+    assert sum(made.values()) < len(rows)
+    assert {p.name for p in there} == {"places", "firsts", "shared", "at"}
+
+
+def test_lines_rounds(spark, monkeypatch):
+    """The rounds of bits lose no link: the result doesn't depend on them."""
+    rnd = random.Random(18)
+    words = fresh(24, rnd).split()
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(2, 7)))) for i in range(300)]
+    rows += [(300 + i, t[:k] + rnd.choice("xyz") + t[k + 1 :]) for i, t in rows[:150] for k in [rnd.randrange(len(t))]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = []
+    for rounds in (lines.ROUNDS, (lines.WIDE,), (3, 7, lines.WIDE)):
+        monkeypatch.setattr(lines, "ROUNDS", rounds)
+        got.append(sorted(map(tuple, lines.dedup_lines(frame).collect())))
+    assert got[0] == got[1] == got[2] and 0 < len(got[0]) < len(rows)
+
+
 def test_lines_empty(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
