@@ -732,6 +732,26 @@ def test_lines_counts(spark):
     assert len(near) > 40 and near <= got <= set(both) and len(got) < 0.5 * len(both)
 
 
+def test_lines_halves(spark):
+    """Short lines whose halves ask for too many edits don't meet, though they are alike in counts; no near line is lost by that, wherever its edits are and however they shift the middle."""
+    rnd = random.Random(31)
+    texts = ["one red dog saw that " + "mill upon hill " * 2, "mill upon hill " * 2 + "one red dog saw that "]
+    swapped = len(texts)
+    for n in [*range(5, 60, 4), 100, 199, 251, 254, 255, 256, 300]:
+        t = "".join(rnd.choice("eaiontrslduhcm zñ") for _ in range(n))
+        k = n // 5
+        texts += [t, t[k:], t[: n - k], "x" * (k // 2) + t[: n - k // 2], t[k // 2 :] + "x" * (k // 2), t[: n // 2] + "q" * k + t[n // 2 :], t[: n // 2 - k] + t[n // 2 :]]
+    texts = dict(enumerate(texts))
+    rows = lines.prints(spark.createDataFrame(list(texts.items()), "class long, t string")).where("view = 0")
+    rows = rows.withColumn("fp", F.lit(0).cast("long")).withColumn("key", F.lit(0)).cache()
+    got = {(r.a, r.b) for r in rows.alias("a").join(rows.alias("b"), lines._near(0.8)).select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).collect()}
+    long = lambda a, b: max(len(texts[a]), len(texts[b]))
+    both = [(a, b) for a in texts for b in texts if a != b and min(len(texts[a]), len(texts[b])) >= 0.8 * long(a, b)]
+    near = {(a, b) for a, b in both if slow_distance(texts[a], texts[b]) <= int(0.2 * long(a, b) + 1e-9)}
+    assert sorted(texts[0]) == sorted(texts[1]) and not {(0, 1), (1, 0)} & got
+    assert len([p for p in near if min(p) >= swapped]) > 150 and near <= got
+
+
 def test_lines_passage(spark, monkeypatch):
     """Lines that share a passage with their longest words but are no copies aren't made into pairs; what the texts of candidates don't need is freed before they are shuffled."""
     made, there, cut = {}, set(), lines.Written.cut
