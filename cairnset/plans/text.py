@@ -265,6 +265,5 @@ def sf11_escapers(d: Domain) -> DataFrame:
 def sf12_code_points(d: Domain) -> DataFrame:
     """UTF-8 is valid; the code points of a whole text make it again."""
     t = F.col("text")
-    points = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
-    rows = d.table("documents").select("doc_id", F.is_valid_utf8(t).alias("valid"), points.alias("p"))
-    return rows.select("doc_id", "valid", F.size("p").cast("long").alias("n_points"), F.md5(text.from_code_points(F.col("p")).cast("binary")).alias("digest"))
+    rows = d.table("documents").select("doc_id", F.is_valid_utf8(t).alias("valid"), text.packed_code_points(t).alias("p"))
+    return rows.select("doc_id", "valid", (F.octet_length("p") / 4).cast("long").alias("n_points"), F.md5(text.from_packed(F.col("p")).cast("binary")).alias("digest"))
