@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -17,9 +20,19 @@ _VALUES = ", ".join(f"('{t}')" for t in TEXTS)
 _T = f", t(q) AS (VALUES {_VALUES}) "
 
 
+def _found(d: Domain, kinds: tuple[tuple[str, int], ...], s: Column, q: Callable[[str], Column]) -> DataFrame:
+    """``item_id, q, kind``: which of ``TEXTS`` an item's strings match, and how. A string's hits are bits of a number, so each item is one row whatever it matches;
+    items are dealt out before they are matched, as a small file is read by one task."""
+    asked = [(t, name, kind) for t in TEXTS for name, kind in kinds]
+    rows = d.parts().repartition("item_id").select("item_id", F.explode("strs").alias("s")).select("item_id", s.alias("s"))
+    hits = [F.shiftleft(text.matches(F.col("s"), q(t), kind).cast("long"), k) for k, (t, _, kind) in enumerate(asked)]
+    found = rows.groupBy("item_id").agg(F.bit_or(reduce(Column.bitwiseOR, hits)).alias("hits")).where("hits <> 0")
+    names = F.array(*[F.struct(F.lit(1 << k).cast("long").alias("bit"), F.lit(t).alias("q"), F.lit(name).alias("kind")) for k, (t, name, _) in enumerate(asked)])
+    return found.select("item_id", "hits", F.inline(names)).where(F.col("hits").bitwiseAND(F.col("bit")) != 0).select("item_id", "q", "kind")
+
+
 def _pairs(d: Domain, kind: int) -> DataFrame:
-    rows = d.part_strs().select("item_id", "s", F.explode(F.array(*[F.lit(t) for t in TEXTS])).alias("q"))
-    return rows.where(text.matches(F.col("s"), F.col("q"), kind)).select("item_id", "q").distinct()
+    return _found(d, (("", kind),), F.col("s"), F.lit).select("item_id", "q")
 
 
 @query(_T + "SELECT DISTINCT item_id, q FROM strs JOIN t ON s = q")
@@ -48,9 +61,8 @@ def tx4_substring(d: Domain) -> DataFrame:
 WHERE CASE kind WHEN 'exact' THEN lower(s) = lower(q) WHEN 'prefix' THEN starts_with(lower(s), lower(q)) WHEN 'suffix' THEN suffix(lower(s), lower(q)) ELSE contains(lower(s), lower(q)) END"""
 )
 def tx5_no_case(d: Domain) -> DataFrame:
-    rows = d.part_strs().select("item_id", "s", F.explode(F.array(*[F.lit(t) for t in TEXTS])).alias("q"))
-    hits = F.array(*[F.when(text.matches(F.col("s"), F.col("q"), k | text.NO_CASE), F.lit(n)) for n, k in KINDS])
-    return rows.select("item_id", "q", F.explode(F.array_compact(hits)).alias("kind")).distinct()
+    """Strings and texts are lowered once each, not once a test."""
+    return _found(d, KINDS, F.lower("s"), lambda t: F.lower(F.lit(t)))
 
 
 @query("SELECT DISTINCT item_id FROM strs WHERE starts_with(s, 'co') OR contains(s, '#2')")
